@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _RUN = uuid.uuid4().hex[:12]
 
 
@@ -29,7 +30,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{_RUN}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # what this write shuffled is of no more use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     if path.rsplit("/", 1)[0] not in _written:
         _written.add(path.rsplit("/", 1)[0])
         atexit.register(_remove, spark, path.rsplit("/", 1)[0])

@@ -385,6 +385,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the one of least doc_id (of repeated rows: one)."""
-    names = components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates().join(names, docs["doc_id"].eqNullSafe(names["_id"]), "left_semi")
+    """The rows of docs, all columns, of which each component keeps the document of least doc_id, once; rows of null doc_id stay."""
+    names = written(components(docs), "components")
+    kept = names.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    twice = names.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_id"))
+    if twice.isEmpty():
+        return rows
+    same = rows["doc_id"] == twice["_id"]
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -117,35 +117,46 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return names, logp.astype(np.float32)
 
 
+def scorer(names: list[str], lp: np.ndarray):
+    """A function from a column of texts to their languages and scores."""
+
+    def score(col: pa.Array) -> tuple[list[str], list[float]]:
+        langs: list[str] = []
+        scores: list[float] = []
+        for _, texts in _pieces(col):
+            g, starts, letters = grams(texts)
+            if not names:
+                langs += ["und"] * len(texts)
+                scores += [0.0] * len(texts)
+                continue
+            ll = np.zeros((len(texts), len(names)))
+            n = np.zeros(len(texts))
+            for row in g:
+                ll += np.add.reduceat(lp[row], starts[:-1], axis=0)
+                n += np.add.reduceat((row < BUCKETS).astype(np.float64), starts[:-1])
+            z = ll / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            z /= z.sum(axis=1, keepdims=True)
+            best = ll.argmax(axis=1)
+            for i, w in enumerate(best):
+                langs.append(names[w] if letters[i] else "und")
+                scores.append(float(z[i, w]) if letters[i] else 0.0)
+        return langs, scores
+
+    return score
+
+
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     """docs has doc_id, text and held_out; the matrix travels as a broadcast variable of (BUCKETS + 1) x languages x 4 bytes."""
     matrix = docs.sparkSession.sparkContext.broadcast(logp)
 
-    def score(batches):
-        lp = matrix.value
+    def run(batches):
+        score = scorer(names, matrix.value)
         for b in batches:
-            langs, scores = [], []
-            for _, texts in _pieces(b.column(1)):
-                g, starts, letters = grams(texts)
-                if not names:
-                    langs += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                ll = np.zeros((len(texts), len(names)))
-                n = np.zeros(len(texts))
-                for row in g:
-                    ll += np.add.reduceat(lp[row], starts[:-1], axis=0)
-                    n += np.add.reduceat((row < BUCKETS).astype(np.float64), starts[:-1])
-                z = ll / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                best = ll.argmax(axis=1)
-                for i, w in enumerate(best):
-                    langs.append(names[w] if letters[i] else "und")
-                    scores.append(float(z[i, w]) if letters[i] else 0.0)
+            langs, scores = score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def held_out():
@@ -161,3 +172,18 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     names, logp = fit(labelled_rows(docs))
     return predict(with_free_name(docs, "doc_id", "text").withColumn("held_out", held_out()), names, logp)
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, in a learned language with a score of least or more."""
+    names, logp = fit(labelled_rows(docs))
+    matrix = docs.sparkSession.sparkContext.broadcast(logp)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        score = scorer(names, matrix.value)
+        for b in batches:
+            langs, scores = score(b.column(at))
+            yield b.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
