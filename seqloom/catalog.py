@@ -1,0 +1,13 @@
+"""All queries by name, each with the SQL that states the same rows where SQL can."""
+
+from __future__ import annotations
+
+FLAGSHIP = ""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
