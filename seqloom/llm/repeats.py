@@ -9,7 +9,8 @@
    with copies, recur. Their places return to their documents, where the covered words are removed.
 
 A shard is a run of documents of at most kernels.CHUNK bytes (or one document), so an automaton's size is bounded whatever
-the number of recurring phrases; a frequent phrase is a row for each document in 1, never a group held in memory.
+the number of recurring phrases. What a batch itself shows to recur is confirmed there and sends one row for others to be
+confirmed by, so a very frequent phrase or window makes no large group.
 
 Defined cases: a null text has no words and the digest of the empty string; texts under WINDOW words keep all; equal texts
 are copies of each other, so all words of WINDOW or more go; repeated rows likewise; other columns are not read.
@@ -88,40 +89,58 @@ def _noted(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             b = b.filter(pa.array(fresh, pa.bool_()))
             t1, t2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             offsets, data = string_buffers(b.column(2))
+            hs, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             for a, z in chunks(offsets):
                 w = Words(offsets, data, a, z, SPACES, False)
                 p = Phrases(w, window, phrase)
                 at = p.noted()
-                row = np.searchsorted(w.first, at, "right") - 1 + a
-                yield pa.RecordBatch.from_arrays([pa.array(p.s[at].view(np.int64)), pa.array(t1[row]), pa.array(t2[row])], ["h", "t1", "t2"])
+                hs.append(p.s[at])
+                rows.append(np.searchsorted(w.first, at, "right") - 1 + a)
+            h, row = np.concatenate(hs), np.concatenate(rows)
+            key, sure = _sure(h, h ^ mix(np.arange(len(h), dtype=U64) + U64(t1[0] & 0x7FFFFFFF if len(t1) else 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(h), np.int32)), pa.array(sure), pa.array(h.view(np.int64)), pa.array(t1[row]), pa.array(t2[row])], ["key", "check", "sure", "h", "t1", "t2"])
 
-    return docs.where("text is not null").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"), "text").mapInArrow(run, "h long, t1 long, t2 long")
+    return docs.where("text is not null").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"), "text").mapInArrow(run, "key long, check int, sure boolean, h long, t1 long, t2 long")
 
 
-def _recurring(noted: DataFrame) -> DataFrame:
-    """The rows whose phrase is noted more than once."""
+def _sure(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For values of a batch: the key to be grouped by, and whether the batch itself shows that the value recurs.
+
+    Of a value that recurs here the first keeps its own key, to show it to other tasks; the rest need no group and go
+    anywhere, so a value of very many rows makes no large group.
+    """
+    _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    sure = n[back] > 1
+    own = np.zeros(len(h), bool)
+    own[first] = True
+    return np.where(sure & ~own, other, h), sure
+
+
+def _confirmed(rows: DataFrame, columns: str) -> DataFrame:
+    """Of rows (key, check, sure, ...) the ... of those that are sure or whose key and check occur more than once."""
 
     def run(batches):
-        last = None
+        last, met = None, False  # the last row, which waits, and whether it is confirmed already
         for b in batches:
-            b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-            h = b.column(0).to_numpy()
-            if not len(h):
+            if not b.num_rows:
                 continue
-            same = h[1:] == h[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            # the last row waits for the next batch, with the one before it if they are equal
-            tail = 2 if len(h) > 1 and same[-1] else 1
-            if last is not None and last.num_rows == 2:
-                keep[0] = False  # sent before, kept only to show that its phrase recurs
+            t = pa.Table.from_batches([b]) if last is None else pa.concat_tables([last, pa.Table.from_batches([b])])
+            key = t.column(0).to_numpy()
+            check = t.column(1).to_numpy()
+            keep = t.column(2).to_numpy().astype(bool)
+            keep[0] |= met
+            same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+            keep[1:] |= same
+            keep[:-1] |= same
+            met = bool(keep[-1])
+            last = t.slice(len(key) - 1)
             keep[-1] = False
-            yield b.filter(pa.array(keep))
-            last = b.slice(len(h) - tail, tail)
-        if last is not None and last.num_rows == 2:
-            yield last.slice(1, 1)
+            yield from t.filter(pa.array(keep)).select(range(3, t.num_columns)).to_batches()
+        if met:
+            yield from last.select(range(3, last.num_columns)).to_batches()
 
-    n = shuffle_partitions(noted.sparkSession)
-    return noted.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, t1 long, t2 long")
+    n = shuffle_partitions(rows.sparkSession)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "check").mapInArrow(run, columns)
 
 
 def _locate(w: Words, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +169,12 @@ def _locate(w: Words, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """A row (w1, w2, rk, place, copied) for each candidate window of texts (text, rk, copied, hs)."""
+    """A row (key, check, sure, rk, place) for each candidate window of texts (text, rk, copied, hs); key and check are 96 bits of its words' hash."""
 
     def run(batches):
         for b in batches:
             offsets, data = string_buffers(b.column(0))
+            out = []
             rk, copied, hs = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
             for a, z in chunks(offsets):
                 w = Words(offsets, data, a, z, SPACES, False)
@@ -166,55 +186,27 @@ def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                 first, last = _locate(w, list({b" ".join(w.word(i, i) for i in range(x, x + phrase)) for x in at[once].tolist()}))
                 found = p.candidates(first[last - first == phrase - 1])
                 row = np.searchsorted(w.first, found, "right") - 1
-                w1 = shingles(p.h, window)[found]
-                w2 = shingles(mix(p.h + U64(0xA0761D6478BD642F)), window)[found]
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array((w2 >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(rk[row + a]), pa.array((found - w.first[row]).astype(np.int32)), pa.array(copied[row + a].astype(bool))], ["w1", "w2", "rk", "place", "copied"])
-
-    return texts.select("text", "rk", "copied", "hs").mapInArrow(run, "w1 long, w2 int, rk long, place int, copied boolean")
-
+                out.append((shingles(p.h, window)[found], shingles(mix(p.h + U64(0xA0761D6478BD642F)), window)[found], row + a, found - w.first[row]))
+            w1, w2, row, place = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 2)
+            key, sure = _sure(w1, w1 ^ mix(np.arange(len(w1), dtype=U64) + U64(rk[0] & 0x7FFFFFFF if len(rk) else 0)))
+            # a window of a copied text shows itself to others once more: two rows of its key
+            sure |= copied[row].astype(bool)
+            twin = np.flatnonzero(copied[row].astype(bool) & (key == w1))
+            pick = np.concatenate([np.arange(len(w1)), twin])
+            yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array((w2[pick] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(sure[pick]), pa.array(rk[row[pick]]), pa.array(place[pick].astype(np.int32))], ["key", "check", "sure", "rk", "place"])
 
-def _twice(windows: DataFrame) -> DataFrame:
-    """(rk, place) of the windows that occur more than once, or in a copied text. A group is held as its first row until its second."""
-
-    def run(batches):
-        key = None  # w1, w2 of the group at the end of the last batch, whether it recurs, and its first row while that waits
-        for b in batches:
-            w1, w2, rk, place = (b.column(i).to_numpy() for i in range(4))
-            copied = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            if not len(w1):
-                continue
-            if key is not None:
-                w1, w2, rk, place, copied = np.append(key[0], w1), np.append(key[1], w2), np.append(key[2], rk), np.append(key[3], place), np.append(key[4], copied)
-                sent = key[5]
-            else:
-                sent = False
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            at = np.flatnonzero(new)
-            size = np.diff(np.append(at, len(w1)))
-            recurs = (size > 1) | np.logical_or.reduceat(copied, at)
-            if sent:
-                recurs[0] = True
-            out = np.repeat(recurs, size)
-            if sent:
-                out[0] = False  # stands for rows sent before
-            g = at[-1]
-            key = (w1[g : g + 1], w2[g : g + 1], rk[g : g + 1], place[g : g + 1], copied[g : g + 1], bool(recurs[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(rk[out]), pa.array(place[out])], ["rk", "place"])
-
-    n = shuffle_partitions(windows.sparkSession)
-    return windows.repartition(n, "w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(run, "rk long, place int")
+    return texts.select("text", "rk", "copied", "hs").mapInArrow(run, "key long, check int, sure boolean, rk long, place int")
 
 
 def marks(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(rk, t1, copied, places) of the rows with recurring windows: all windows of a copied text, else those at places."""
     names = written(_names(docs.where("text is not null")), "names")
     texts = names.groupBy("t1", "t2").agg(F.min("rk").alias("rk"), (F.count(F.lit(1)) > 1).alias("copied"))
-    phrases = written(_recurring(_noted(docs, window, phrase)), "phrases").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs"))
+    phrases = written(_confirmed(_noted(docs, window, phrase), "h long, t1 long, t2 long"), "phrases").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs"))
     work = written(texts.join(phrases, ["t1", "t2"]).select("rk", "t1", "copied", "hs"), "work")
     keyed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64("text").alias("t1"))
     windows = written(_windows(keyed.join(work, ["rk", "t1"]), window, phrase), "windows")
-    places = _twice(windows).groupBy("rk").agg(F.collect_set("place").alias("places"))
+    places = _confirmed(windows, "rk long, place int").groupBy("rk").agg(F.collect_set("place").alias("places"))
     own = work.where("not copied").select("rk", "t1").join(places, "rk").select("rk", "t1", F.lit(False).alias("copied"), "places")
     copies = names.join(texts.where("copied").select("t1", "t2"), ["t1", "t2"]).select("rk", "t1").distinct()
     return own.unionByName(copies.select("rk", "t1", F.lit(True).alias("copied"), F.array().cast("array<int>").alias("places")))
