@@ -7,8 +7,9 @@
 3. The sets of each block go to one task (blocks over CHUNK sets are cut into chunks), which stores them in a prefix tree
    by the global order, probes it with each set, counts shared elements along shared paths once, and prunes a subtree when
    what remains can't reach the needed overlap. Sets already in one component need no further probe.
-4. In a block of several chunks, first representatives of the chunks' components are joined, then every set outside the
-   block's largest component against all chunks; so no link between different components is left untested.
+4. In a block of several chunks, first representatives of the chunks' components are joined. Then the sets of each prefix
+   element that still lie in different components are joined (equal lists of sets once; long lists in chunks, every set
+   outside a list's largest component against all chunks), so no link between different components is left untested.
 
 Equal sets are one node throughout. Sets hold 56-bit shingle hashes and have 64-bit names.
 
@@ -355,25 +356,38 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = reps.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     reps = reps.join(many, "block").join(cut.select("sid", "elements"), "sid").select(group(F.pmod(F.xxhash64("root"), "parts")).alias("g"), "sid", "elements", "root", F.lit(True).alias("probing"))
     found = written(found.unionByName(_join_groups(reps)), "links")
-    rooted = written(_roots(cut.select("sid", "block", "cut", "cuts"), found), "rooted")
-    sizes = rooted.groupBy("block", "root").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("block").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("block", F.col("x.root").alias("main"), "parts")
-    open_ = rooted.join(largest, "block")
-    outside = open_.where("root <> main").select("sid", "block", "root")
-    outer = outside.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("outer"))
-    sets = cut.select("sid", "elements")
-    inner_rows = open_.join(outer, "block").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select("block", "cut", "o", "sid", "root", F.lit(False).alias("probing"))
-    outer_rows = (
-        outside.join(outer, "block")
-        .withColumn("o", F.pmod(F.xxhash64("sid", F.lit(7)), "outer").cast("int"))
-        .join(rooted.select("block", "cuts").distinct(), "block")
-        .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("block", "cut", "o", "sid", "root", F.lit(True).alias("probing"))
-    )
-    cross = inner_rows.unionByName(outer_rows).join(sets, "sid").select(group("cut", "o").alias("g"), "sid", "elements", "root", "probing")
+    # what is left are pairs of different components that share a prefix element: the sets of such an element are a list
+    rooted = written(_roots(cut.select("sid"), found), "rooted")
+    shared = written(_elements(cut.join(rooted, "sid")), "shared")
+    lists = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(3), "sid") % (1 << 40)).alias("y")).where("r0 <> r1")
+    lists = written(lists.groupBy("k", "x", "y").agg(F.min("tok").alias("tok")), "lists")  # equal lists once
+    open_ = written(shared.join(lists.select("tok", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok"), "open")
+    main = open_.where("cuts > 1").groupBy("tok", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    large = open_.join(main, "tok").withColumn("outside", F.col("root") != F.col("main"))
+    outer = large.where("outside").groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("outer"))
+    large = large.join(outer, "tok")
+    place = lambda salt, of: F.pmod(F.xxhash64("sid", F.lit(salt)), of).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = open_.where("cuts = 1").select("tok", F.lit(0).alias("cut"), F.lit(0).alias("o"), "sid", "root", F.lit(True).alias("probing"))
+    rows = rows.unionByName(large.withColumn("cut", place(5, F.col("cuts"))).select("tok", "cut", each("outer").alias("o"), "sid", "root", F.lit(False).alias("probing")))
+    rows = rows.unionByName(large.where("outside").withColumn("o", place(7, F.col("outer"))).select("tok", each("cuts").alias("cut"), "o", "sid", "root", F.lit(True).alias("probing")))
+    cross = rows.join(cut.select("sid", "elements"), "sid").select(F.xxhash64("tok", "cut", "o").alias("g"), "sid", "elements", "root", "probing")
     return names, written(found.unionByName(_join_groups(cross)), "links")
 
 
+def _elements(members: DataFrame) -> DataFrame:
+    """(tok, sid, root) for each prefix element of members."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
+            first = [v[: prefix_length(len(v))] for v in sets]
+            n = np.array([len(v) for v in first], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, U64)]).view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (1, 2))], ["tok", "sid", "root"])
+
+    return members.select("elements", "sid", "root").mapInArrow(run, "tok long, sid long, root long")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of the component) of every row."""
     names, found = links(docs)
