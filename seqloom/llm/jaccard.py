@@ -8,7 +8,8 @@
    by the global order, probes it with each set, counts shared elements along shared paths once, and prunes a subtree when
    what remains can't reach the needed overlap. Sets already in one component need no further probe.
 4. In a block of several chunks, first representatives of the chunks' components are joined. Then the sets of each prefix
-   element that still lie in different components are joined (equal lists of sets once; long lists in chunks, every set
+   element that still lie in different components are joined, once those are peeled off that share too few prefix elements
+   with any size of partner (equal lists of sets once; long lists in chunks, every set
    outside a list's largest component against all chunks), so no link between different components is left untested.
 
 Equal sets are one node throughout. Sets hold 56-bit shingle hashes and have 64-bit names.
@@ -35,6 +36,8 @@ SHINGLE, PERCENT = 5, 75
 SLOTS, BLOCK, FILTER_BITS = 1 << 20, 1 << 12, 1 << 25
 #: Sets that one task joins at once; representatives of a component in a cut block.
 CHUNK, REPRESENTATIVES = 256, 8
+#: Size classes grow by CLASS; sets REACH + 1 classes apart can't be linked. Rounds of peeling.
+CLASS, REACH, PEELS = 1.05, 6, 2
 
 
 def needed(n: int, m: int) -> int:
@@ -359,6 +362,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what is left are pairs of different components that share a prefix element: the sets of such an element are a list
     rooted = written(_roots(cut.select("sid"), found), "rooted")
     shared = written(_elements(cut.join(rooted, "sid")), "shared")
+    for _ in range(PEELS):
+        shared = written(_peeled(shared), "shared")
     lists = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(3), "sid") % (1 << 40)).alias("y")).where("r0 <> r1")
     lists = written(lists.groupBy("k", "x", "y").agg(F.min("tok").alias("tok")), "lists")  # equal lists once
     open_ = written(shared.join(lists.select("tok", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok"), "open")
@@ -375,17 +380,35 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, written(found.unionByName(_join_groups(cross)), "links")
 
 
+def _peeled(shared: DataFrame) -> DataFrame:
+    """The rows of shared without those of sets that can have no link outside their component.
+
+    Linked sets of n and m elements share at least 3(n + m)/7 - 0.75 max(n, m) elements of their prefixes. A set's lists are
+    counted by the size classes met in them, and a class that is met too seldom can't hold a partner.
+    """
+    size = F.floor(F.log(F.lit(CLASS), F.col("n"))).cast("int")
+    several = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
+    rows = shared.join(several, "tok").withColumn("own", size)
+    classes = rows.groupBy("tok", F.col("own").alias("other")).agg(F.count(F.lit(1)).alias("k"))
+    reach = rows.join(classes, "tok").where((F.abs(F.col("own") - F.col("other")) <= REACH) & ((F.col("own") != F.col("other")) | (F.col("k") > 1))).select("tok", "sid", "root", "n", "other")
+    need = lambda m: 3 * (F.col("n") + m) / 7 - 0.75 * F.greatest(F.col("n").cast("double"), m)
+    low, high = F.pow(F.lit(CLASS), F.col("other")), F.pow(F.lit(CLASS), F.col("other") + 1)
+    counted = reach.groupBy("sid", "n", "other").agg(F.count(F.lit(1)).alias("c"))
+    able = counted.where(F.col("c") >= F.least(need(low), need(high)) - 1e-6).select("sid", "other")
+    return reach.join(able, ["sid", "other"]).select("tok", "sid", "root", "n").distinct()
+
+
 def _elements(members: DataFrame) -> DataFrame:
-    """(tok, sid, root) for each prefix element of members."""
+    """(tok, sid, root, n) for each prefix element of members; n is the size of the set."""
 
     def run(batches):
         for b in batches:
             sets = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
             first = [v[: prefix_length(len(v))] for v in sets]
             n = np.array([len(v) for v in first], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, U64)]).view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (1, 2))], ["tok", "sid", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, U64)]).view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (1, 2)), pa.array(np.repeat(np.array([len(v) for v in sets], np.int32), n))], ["tok", "sid", "root", "n"])
 
-    return members.select("elements", "sid", "root").mapInArrow(run, "tok long, sid long, root long")
+    return members.select("elements", "sid", "root").mapInArrow(run, "tok long, sid long, root long, n int")
 
 
 def components(docs: DataFrame) -> DataFrame:
