@@ -21,6 +21,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -386,7 +387,7 @@ def _peeled(shared: DataFrame) -> DataFrame:
     Linked sets of n and m elements share at least 3(n + m)/7 - 0.75 max(n, m) elements of their prefixes. A set's lists are
     counted by the size classes met in them, and a class that is met too seldom can't hold a partner.
     """
-    size = F.floor(F.log(F.lit(CLASS), F.col("n"))).cast("int")
+    size = F.floor(F.ln(F.col("n").cast("double")) / math.log(CLASS)).cast("int")
     several = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
     rows = shared.join(several, "tok").withColumn("own", size)
     classes = rows.groupBy("tok", F.col("own").alias("other")).agg(F.count(F.lit(1)).alias("k"))
