@@ -377,8 +377,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = open_.where("cuts = 1").select("tok", F.lit(0).alias("cut"), F.lit(0).alias("o"), "sid", "root", F.lit(True).alias("probing"))
     rows = rows.unionByName(large.withColumn("cut", place(5, F.col("cuts"))).select("tok", "cut", each("outer").alias("o"), "sid", "root", F.lit(False).alias("probing")))
     rows = rows.unionByName(large.where("outside").withColumn("o", place(7, F.col("outer"))).select("tok", each("cuts").alias("cut"), "o", "sid", "root", F.lit(True).alias("probing")))
-    cross = rows.join(cut.select("sid", "elements"), "sid").select(F.xxhash64("tok", "cut", "o").alias("g"), "sid", "elements", "root", "probing")
-    return names, written(found.unionByName(_join_groups(cross)), "links")
+    rows = written(rows.withColumn("g", F.xxhash64("tok", "cut", "o")).select("g", "sid", "root", "probing"), "cross")
+    # in rounds that each send about as many sets as there are, so that the exchange needs a bounded part of the disk
+    rounds = max(1, -(-rows.count() // max(1, cut.count())))
+    for i in range(rounds):
+        part = rows.where(F.pmod(F.col("g"), F.lit(rounds)) == i).join(cut.select("sid", "elements"), "sid")
+        found = found.unionByName(written(_join_groups(part), "links"))
+    return names, written(found, "links")
 
 
 def _peeled(shared: DataFrame) -> DataFrame:
