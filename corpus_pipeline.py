@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", keep_language), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal data", mask_personal_data), ("packing", pack)]
 
-#: The stages learn a model, find components and tokenize: SQL can't state their rows; tests compare them with brute force.
+#: The stages learn a model, find components and tokenize: SQL can't state their rows. Tests compare each stage's operator with brute force, not yet the pipeline as a whole.
 ORACLE_SQL = None
 
 
