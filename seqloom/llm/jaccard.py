@@ -2,8 +2,9 @@
 
 1. All documents are counted into SLOTS counters (document frequency by hash slot). Slot count, then hash, is the global
    order of shingles, rare ones first; the counters have a fixed size and are broadcast.
-2. Two linked sets of sizes m <= n share an element of the first n - ceil(0.75 n) + 1 of each. Those prefixes are grouped
-   by element; within an element, sets in order of size are tied into blocks wherever sizes allow a link. No pairs are made.
+2. Two linked sets share 1 + n // SPARE or more of the first n - ceil(0.75 n) + 1 + n // SPARE elements of each. Those prefixes
+   are grouped by element. Sets that share too few of them with sets of fitting size are peeled off: long texts share some by
+   chance. Then, within an element, sets in order of size are tied into blocks wherever sizes allow a link. No pairs are made.
 3. The sets of each block go to one task (blocks over CHUNK sets are cut into chunks), which stores them in a prefix tree
    by the global order, probes it with each set, counts shared elements along shared paths once, and prunes a subtree when
    what remains can't reach the needed overlap. Sets already in one component need no further probe.
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 SLOTS, BLOCK, FILTER_BITS = 1 << 20, 1 << 12, 1 << 25
 #: Sets that one task joins at once; representatives of a component in a cut block.
 CHUNK, REPRESENTATIVES = 256, 8
+#: Prefixes are longer by one in SPARE elements of the set than one shared element needs, so that linked sets share many.
+SPARE = 16
 #: Size classes grow by CLASS; sets REACH + 1 classes apart can't be linked. Rounds of peeling.
 CLASS, REACH, PEELS = 1.05, 6, 2
 
@@ -46,8 +49,13 @@ def needed(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
+def least_shared(n: int) -> int:
+    """Least number of prefix elements that a set of n elements shares with the prefix of a linked set."""
+    return 1 + n // SPARE
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-PERCENT * n // 100) + least_shared(n)
 
 
 def sets_of(offsets: np.ndarray, data: np.ndarray, a: int, b: int) -> list[np.ndarray]:
@@ -157,7 +165,44 @@ def _prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "tok long, sid long, n int")
 
 
-def _ties(prefixes: DataFrame) -> DataFrame:
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """tok, sid, n, once each, of the prefix elements that another set of a size that allows a link holds in its prefix too.
+
+    In order of size, such a set stands next to it; one row is carried from batch to batch, so a hot element needs no memory.
+    """
+
+    def run(batches):
+        tok, sid, n, hit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), False  # the last row, if any
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tok, sid, n = (np.append(x, b.column(i).to_numpy(zero_copy_only=False)) for i, x in enumerate((tok, sid, n)))
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
+            tok, sid, n = tok[new], sid[new], n[new]
+            near = (tok[1:] == tok[:-1]) & (PERCENT * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
+            hits = np.zeros(len(tok), bool)
+            hits[0] = hit
+            hits[1:] |= near
+            hits[:-1] |= near
+            out = np.flatnonzero(hits[:-1])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(tok[out]), pa.array(sid[out]), pa.array(n[out])], ["tok", "sid", "n"])
+            tok, sid, n, hit = tok[-1:], sid[-1:], n[-1:], bool(hits[-1])
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(sid), pa.array(n)], ["tok", "sid", "n"])
+
+    p = shuffle_partitions(prefixes.sparkSession)
+    return prefixes.repartition(p, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(run, "tok long, sid long, n int")
+
+
+def _enough(shared: DataFrame) -> DataFrame:
+    """The rows of shared of sets that share as many prefix elements, with whatever sets, as a link needs."""
+    able = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.col("n") / SPARE)).select("sid")
+    return shared.join(able, "sid", "left_semi")
+
+
+def _ties(shared: DataFrame) -> DataFrame:
     """Edges (a, b) from the first set of each run of an element's sets, in order of size, between which sizes allow a link."""
 
     def run(batches):
@@ -177,8 +222,8 @@ def _ties(prefixes: DataFrame) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    n = shuffle_partitions(prefixes.sparkSession)
-    return prefixes.repartition(n, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(run, "a long, b long").distinct()
+    n = shuffle_partitions(shared.sparkSession)
+    return shared.select("tok", "sid", "n").repartition(n, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -339,7 +384,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     survey = written(_survey(d), "survey")
     names = survey.where("block is null").select("doc_id", "sid", "n")
     rank = rarity(_summed(survey.where("block is not null"), SLOTS, np.uint32, np.add))
-    ties = written(_ties(_prefixes(d, rank)), "ties")
+    met = written(_enough(written(_shared(_prefixes(d, rank)), "shared")), "met")
+    met = written(_peeled(met.withColumn("root", F.col("sid"))), "met")
+    ties = written(_ties(met), "ties")
     blocks = connected(ties).select(F.col("node").alias("sid"), F.col("root").alias("block"))
     first = names.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(first.join(blocks, "sid"), "wanted")
@@ -389,15 +436,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _peeled(shared: DataFrame) -> DataFrame:
     """The rows of shared without those of sets that can have no link outside their component.
 
-    Linked sets of n and m elements share at least 3(n + m)/7 - 0.75 max(n, m) elements of their prefixes. A set's lists are
-    counted by the size classes met in them, and a class that is met too seldom can't hold a partner.
+    Linked sets of n and m elements share 3(n + m)/7 elements or more, of which at most ceil(0.75 n) - least_shared(n) lie behind
+    the one's prefix, and likewise the other's. A set's lists are counted by the size classes met in them, and a class that is
+    met too seldom can't hold a partner; within a class the bound is least at an end.
     """
     size = F.floor(F.ln(F.col("n").cast("double")) / math.log(CLASS)).cast("int")
     several = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tok")
     rows = shared.join(several, "tok").withColumn("own", size)
     classes = rows.groupBy("tok", F.col("own").alias("other")).agg(F.count(F.lit(1)).alias("k"))
     reach = rows.join(classes, "tok").where((F.abs(F.col("own") - F.col("other")) <= REACH) & ((F.col("own") != F.col("other")) | (F.col("k") > 1))).select("tok", "sid", "root", "n", "other")
-    need = lambda m: 3 * (F.col("n") + m) / 7 - 0.75 * F.greatest(F.col("n").cast("double"), m)
+    need = lambda m: 3 * (F.col("n") + m) / 7 - F.greatest(0.75 * F.col("n") - F.floor(F.col("n") / SPARE), 0.75 * m - m / SPARE + 1)
     low, high = F.pow(F.lit(CLASS), F.col("other")), F.pow(F.lit(CLASS), F.col("other") + 1)
     counted = reach.groupBy("sid", "n", "other").agg(F.count(F.lit(1)).alias("c"))
     able = counted.where(F.col("c") >= F.least(need(low), need(high)) - 1e-6).select("sid", "other")
