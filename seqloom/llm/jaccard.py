@@ -8,10 +8,10 @@
 3. The sets of each block go to one task (blocks over CHUNK sets are cut into chunks), which stores them in a prefix tree
    by the global order, probes it with each set, counts shared elements along shared paths once, and prunes a subtree when
    what remains can't reach the needed overlap. Sets already in one component need no further probe.
-4. In a block of several chunks, first representatives of the chunks' components are joined. Then the sets of each prefix
-   element that still lie in different components are joined, once those are peeled off that share too few prefix elements
-   with any size of partner (equal lists of sets once; long lists in chunks, every set
-   outside a list's largest component against all chunks), so no link between different components is left untested.
+4. In a block of several chunks, first representatives of the chunks' components are joined. Then every set outside the
+   block's largest component meets all chunks. Where more than OUTSIDE sets are outside, the same is done for the sets of each
+   prefix element in place of the block, once those are peeled off that share too few prefix elements with any size of partner
+   (equal lists of sets once). So no link between different components is left untested.
 
 Equal sets are one node throughout. Sets hold 56-bit shingle hashes and have 64-bit names.
 
@@ -36,8 +36,11 @@ from .kernels import SPACES, U64, Words, chunks, mix, shingles, string_buffers
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, BLOCK, FILTER_BITS = 1 << 20, 1 << 12, 1 << 25
-#: Sets that one task joins at once; representatives of a component in a cut block.
-CHUNK, REPRESENTATIVES = 256, 8
+#: Sets that one task joins at once; representatives of a component in a cut block; sets outside its largest component up to
+#: which a cut block is joined as a whole, each set being sent at most 2 * OUTSIDE / CHUNK times.
+CHUNK, REPRESENTATIVES, OUTSIDE = 1024, 8, 8192
+#: Sets sent in a round, in multiples of those that there are.
+SENT = 4
 #: Prefixes are longer by one in SPARE elements of the set than one shared element needs, so that linked sets share many.
 SPARE = 16
 #: Size classes grow by CLASS; sets REACH + 1 classes apart can't be linked. Rounds of peeling.
@@ -407,30 +410,49 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = reps.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     reps = reps.join(many, "block").join(cut.select("sid", "elements"), "sid").select(group(F.pmod(F.xxhash64("root"), "parts")).alias("g"), "sid", "elements", "root", F.lit(True).alias("probing"))
     found = written(found.unionByName(_join_groups(reps)), "links")
-    # what is left are pairs of different components that share a prefix element: the sets of such an element are a list
     rooted = written(_roots(cut.select("sid"), found), "rooted")
+    placed = cut.select("sid", "block", "cuts").join(rooted, "sid")
+    main = placed.groupBy("block", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("block").agg(F.sum("k").alias("size"), F.max("k").alias("k"))
+    left = written(main.select("block", (F.col("size") - F.col("k")).alias("left")).where("left > 0"), "left")
+    rows = _crossing(placed.join(left.where(F.col("left") <= OUTSIDE).select("block"), "block").withColumnRenamed("block", "key"))
+    found = written(found.unionByName(_rounds(written(rows, "cross"), cut)), "links")
+    many = left.where(F.col("left") > OUTSIDE).select("block")
+    if many.isEmpty():
+        return names, found
+    # in blocks of many components, only pairs that share a prefix element: the sets of such an element are a list
+    cut = cut.join(many, "block", "left_semi")
     shared = written(_elements(cut.join(rooted, "sid")), "shared")
     for _ in range(PEELS):
         shared = written(_peeled(shared), "shared")
     lists = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(3), "sid") % (1 << 40)).alias("y")).where("r0 <> r1")
     lists = written(lists.groupBy("k", "x", "y").agg(F.min("tok").alias("tok")), "lists")  # equal lists once
-    open_ = written(shared.join(lists.select("tok", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok"), "open")
-    main = open_.where("cuts > 1").groupBy("tok", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-    large = open_.join(main, "tok").withColumn("outside", F.col("root") != F.col("main"))
-    outer = large.where("outside").groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("outer"))
-    large = large.join(outer, "tok")
+    open_ = written(shared.join(lists.select("tok", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok").withColumnRenamed("tok", "key"), "open")
+    rows = open_.where("cuts = 1").select(F.xxhash64("key", F.lit(0), F.lit(0)).alias("g"), "sid", "root", F.lit(True).alias("probing"))
+    rows = written(rows.unionByName(_crossing(open_.where("cuts > 1"))), "cross")
+    return names, written(found.unionByName(_rounds(rows, cut)), "links")
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Groups (g, sid, root, probing) of rows (key, cuts, sid, root): the sets of a key outside its largest component, in chunks, against all its sets, in cuts."""
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    sets = rows.join(main, "key").withColumn("outside", F.col("root") != F.col("main"))
+    sets = sets.join(sets.where("outside").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("outer")), "key")
     place = lambda salt, of: F.pmod(F.xxhash64("sid", F.lit(salt)), of).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = open_.where("cuts = 1").select("tok", F.lit(0).alias("cut"), F.lit(0).alias("o"), "sid", "root", F.lit(True).alias("probing"))
-    rows = rows.unionByName(large.withColumn("cut", place(5, F.col("cuts"))).select("tok", "cut", each("outer").alias("o"), "sid", "root", F.lit(False).alias("probing")))
-    rows = rows.unionByName(large.where("outside").withColumn("o", place(7, F.col("outer"))).select("tok", each("cuts").alias("cut"), "o", "sid", "root", F.lit(True).alias("probing")))
-    rows = written(rows.withColumn("g", F.xxhash64("tok", "cut", "o")).select("g", "sid", "root", "probing"), "cross")
-    # in rounds that each send about as many sets as there are, so that the exchange needs a bounded part of the disk
-    rounds = max(1, -(-rows.count() // max(1, cut.count())))
+    out = sets.withColumn("cut", place(5, F.col("cuts"))).select("key", "cut", each("outer").alias("o"), "sid", "root", F.lit(False).alias("probing"))
+    out = out.unionByName(sets.where("outside").withColumn("o", place(7, F.col("outer"))).select("key", each("cuts").alias("cut"), "o", "sid", "root", F.lit(True).alias("probing")))
+    return out.select(F.xxhash64("key", "cut", "o").alias("g"), "sid", "root", "probing")
+
+
+def _rounds(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within the groups of rows (g, sid, root, probing), in rounds that each send about SENT times as many sets as there are, so that the exchange needs a bounded part of the disk."""
+    found = None
+    rounds = max(1, -(-rows.count() // max(1, SENT * sets.count())))
     for i in range(rounds):
-        part = rows.where(F.pmod(F.col("g"), F.lit(rounds)) == i).join(cut.select("sid", "elements"), "sid")
-        found = found.unionByName(written(_join_groups(part), "links"))
-    return names, written(found, "links")
+        part = rows.where(F.pmod(F.col("g"), F.lit(rounds)) == i).join(sets.select("sid", "elements"), "sid")
+        links = written(_join_groups(part), "links")
+        found = links if found is None else found.unionByName(links)
+    return found
 
 
 def _peeled(shared: DataFrame) -> DataFrame:

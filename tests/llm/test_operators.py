@@ -134,9 +134,10 @@ def test_repeats(docs, texts):
         assert (got[i * 7].n_words, got[i * 7].n_removed, got[i * 7].kept_sha256) == (len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone)))
 
 
-@pytest.mark.parametrize("chunk", [256, 2])
-def test_jaccard(docs, texts, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, outside", [(256, 8192), (2, 8192), (2, 0)])  # whole blocks, cut ones, and cut ones joined by element
+def test_jaccard(docs, texts, chunk, outside, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "OUTSIDE", outside)
     got = by_id(jaccard.components(docs))
     sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := words(t, low=True)) else set() for t in texts]
     low = list(range(len(sets)))
