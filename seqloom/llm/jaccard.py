@@ -403,10 +403,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return names, found
     rooted = _roots(cut.select("sid", "block", "cut", "cuts"), found)
     # representatives: those of least hash in each component, by several hashes
-    reps = rooted.groupBy("block", "root").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("x")).select("block", "root", "x.sid")
-    for salt in range(1, REPRESENTATIVES):
-        reps = reps.unionByName(rooted.groupBy("block", "root").agg(F.min(F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), "sid")).alias("x")).select("block", "root", "x.sid"))
-    reps = reps.distinct()
+    least = [F.min(F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), "sid"))["sid"] for salt in range(REPRESENTATIVES)]
+    reps = written(rooted.groupBy("block", "root").agg(F.array_distinct(F.array(*least)).alias("x")).select("block", "root", F.explode("x").alias("sid")), "reps")
     many = reps.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     reps = reps.join(many, "block").join(cut.select("sid", "elements"), "sid").select(group(F.pmod(F.xxhash64("root"), "parts")).alias("g"), "sid", "elements", "root", F.lit(True).alias("probing"))
     found = written(found.unionByName(_join_groups(reps)), "links")
