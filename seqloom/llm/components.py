@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """(u, v) from each node of a scan partition's edges to the least node that those edges connect it with; no shuffle."""
+#: Edges that one task contracts: 4 MB of rows, and some 50 MB of its dictionary.
+EDGES = 1 << 18
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """(u, v) from each node of a task's edges to the least node that those edges connect it with; files are dealt to tasks, no shuffle."""
 
     def run(batches):
         up: dict[int, int] = {}
@@ -32,7 +36,11 @@ def contracted(edges: DataFrame) -> DataFrame:
             at = np.array(part, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], ["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.coalesce(tasks).mapInArrow(run, "u long, v long")
+
+
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // EDGES))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -40,13 +48,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     A round makes each node's larger neighbours point to its least one, then its smaller ones. All is grouped by partial
     minima and joined back, so a node of very many neighbours is no large group anywhere. Loops and repeats are ignored.
-    Before each round, every partition of the written edges is contracted by itself, which saves most rounds.
+    Before each round, every EDGES of the written edges are contracted by one task, which saves most rounds; edges that
+    are few enough for one task need none.
     """
-    star, last = written(contracted(edges.select("a", "b")), "star"), None
-    while True:
+    edges = edges.select("a", "b")
+    tasks = _tasks(edges.count())
+    star, last = written(contracted(edges, tasks), "star"), None
+    while tasks > 1:
         mark = star.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if mark == last:
-            return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
         last = mark
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -54,4 +65,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = written(contracted(written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small")), "star")
+        small = written(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small")
+        tasks = _tasks(small.count())
+        star = written(contracted(small, tasks), "star")
+    return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
