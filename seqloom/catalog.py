@@ -77,6 +77,15 @@ def _bag(s, d):
     return R.bag_subtract(one(4), h.where("hit_seq = 2").groupBy("read_id", (F.col("node_id") % 3).alias("bin")).agg(F.count(F.lit(1)).alias("n")), "read_id", "bin", "n")
 
 
+def _aligned(s, d):
+    digits = F.lpad((F.col("p_partkey") * 7919 % 100_000_000).cast("string"), 8, "0")
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand"), F.translate(digits, "0123456789", "ACGTN-ACGT").alias("row"))
+
+
+def _links(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 100).alias("a"), (F.col("l_orderkey") % 100).alias("b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     shares = {"n50": 0.5, "n75": 0.75}
     return {
@@ -98,6 +107,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bag_subtract": _bag,
         "previous_unique": lambda s, d: R.previous_unique(in_order(hits(s, d)), F.col("node_id") % 3 == 0).select("read_id", "hit_seq", "previous_unique"),
         "base_confusion": lambda s, d: R.base_confusion(features(s, d, 1), features(s, d, 2), "k"),
+        "ng50": lambda s, d: R.ng50(contigs(s, d), 2_000_001),
+        "contig_counts": lambda s, d: contigs(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % 7 == 0).alias("circular"), F.max("len").alias("max_len")),
+        "coverage_moments": lambda s, d: contigs(s, d).groupBy("brand").agg(F.round(F.avg("cov"), 4).alias("mean"), F.round(F.stddev_pop("cov"), 4).alias("sd")),
+        "dominant_bin": lambda s, d: R.dominant(hits(s, d).withColumn("bin", F.col("node_id") % 5), "read_id", "bin", "score"),
+        "feature_match": lambda s, d: R.feature_match(features(s, d, 1), features(s, d, 2), "k", 100),
+        "spelling_offsets": lambda s, d: R.spelling_offsets(in_order(hits(s, d)), "read_id", "score").select("read_id", "hit_seq", "offset"),
+        "nearest_markers": lambda s, d: R.nearest_markers(in_order(hits(s, d)), F.col("node_id") % 3 == 0).select("read_id", "hit_seq", "before", "after"),
+        "anchor_pairs": lambda s, d: R.anchor_pairs(in_order(hits(s, d)), F.col("node_id") % 2 == 0),
+        "gap_statistics": lambda s, d: R.gap_statistics(hits(s, d)),
+        "copies_histogram": lambda s, d: R.copies_histogram(hits(s, d)),
+        "reciprocal_links": lambda s, d: R.reciprocal_links(_links(s, d)),
+        "column_consensus": lambda s, d: R.column_consensus(_aligned(s, d), "brand", "row"),
     }
 
 
@@ -123,4 +144,16 @@ def oracle_sql() -> dict[str, str]:
         "bag_subtract": f"with l as (select read_id, node_id % 3 as bin, count(*) as n from {HITS} where hit_seq <= 4 group by 1, 2), r as (select read_id, node_id % 3 as bin, count(*) as n from {HITS} where hit_seq = 2 group by 1, 2), d as (select read_id, bin, cast(sum(n) as bigint) as n from (select * from l union all select read_id, bin, -n from r) group by 1, 2) select * from d where n > 0 and read_id not in (select read_id from d where n < 0)",
         "previous_unique": f"select read_id, hit_seq, last_value(case when node_id % 3 = 0 then node_id end ignore nulls) over (partition by read_id order by hit_seq rows between unbounded preceding and 1 preceding) as previous_unique from {ORDERED}",
         "base_confusion": f"""with m as (select distinct k, unnest(generate_series("start", "end")) as p from {FEATURES.format(n=1)}), o as (select distinct k, unnest(generate_series("start", "end")) as p from {FEATURES.format(n=2)}) select coalesce(m.k, o.k) as k, count(*) filter (where m.k is not null and o.k is not null) as tp, count(*) filter (where o.k is null) as fp, count(*) filter (where m.k is null) as fn from m full join o on m.k = o.k and m.p = o.p group by 1""",
+        "ng50": f"with r as (select len, sum(len) over (order by len desc) as cum from {CONTIGS}) select max(case when cum >= 1000000 then len end) as ng50 from r",
+        "contig_counts": f"select count(*) as n, count(*) filter (where id % 7 = 0) as circular, max(len) as max_len from {CONTIGS}",
+        "coverage_moments": f"select brand, round(avg(cov), 4) as mean, round(stddev_pop(cov), 4) as sd from {CONTIGS} group by brand",
+        "dominant_bin": f"with t as (select read_id, node_id % 5 as bin, cast(sum(score) as bigint) as weight from {HITS} group by 1, 2) select read_id, bin, weight from t qualify row_number() over (partition by read_id order by weight desc, bin) = 1",
+        "feature_match": f"""with a as {FEATURES.format(n=1)}, b as {FEATURES.format(n=2)}, m as (select a.id, b.id as model_id from a join b on a.k = b.k and a."end" - b."start" >= 100 and b."end" - a."start" >= 100) select (select count(distinct id) from m) as tp, (select count(distinct model_id) from m) as recalled, (select count(*) from a) as n_mine, (select count(*) from b) as n_model""",
+        "spelling_offsets": f'select read_id, hit_seq, cast(coalesce(sum(score - 127) over (partition by read_id order by hit_seq rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from {ORDERED}',
+        "nearest_markers": f'select read_id, hit_seq, last_value(case when node_id % 3 = 0 then node_id end ignore nulls) over (partition by read_id order by hit_seq rows between unbounded preceding and 1 preceding) as "before", first_value(case when node_id % 3 = 0 then node_id end ignore nulls) over (partition by read_id order by hit_seq rows between 1 following and unbounded following) as "after" from {ORDERED}',
+        "anchor_pairs": f"with x as (select read_id, node_id as a, lead(node_id) over (partition by read_id order by hit_seq) as b from {ORDERED} where node_id % 2 = 0) select read_id, a, b from x where b is not null",
+        "gap_statistics": f"""with x as (select "left" - max("right") over (partition by read_id order by "left", "right" rows between unbounded preceding and 1 preceding) as gap from {HITS}) select count(*) as gaps, max(gap) as max_gap from x where gap > 0""",
+        "copies_histogram": f"with r as (select read_id, count(*) as k from {HITS} group by 1) select k, count(*) as reads, k * count(*) as units from r group by k",
+        "reciprocal_links": "with l as (select distinct l_partkey % 100 as a, l_orderkey % 100 as b from lineitem) select x.a, x.b from l x join l y on x.a = y.b and x.b = y.a where x.a < x.b",
+        "column_consensus": "with t as (select p_brand as brand, translate(lpad(cast(p_partkey * 7919 % 100000000 as varchar), 8, '0'), '0123456789', 'ACGTN-ACGT') as x from part), c as (select brand, g.pos, substr(x, cast(g.pos as int), 1) as letter from t, generate_series(1, 8) as g(pos)), v as (select brand, pos, letter from c group by 1, 2, 3 qualify row_number() over (partition by brand, pos order by count(*) desc, instr('ACGTN-', letter)) = 1) select brand, coalesce(string_agg(letter, '' order by pos) filter (where letter <> '-'), '') as consensus from v group by brand",
     }

@@ -88,3 +88,73 @@ def base_confusion(mine: DataFrame, model: DataFrame, key: str) -> DataFrame:
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     x, y = F.col("x") > 0, F.col("y") > 0
     return run.groupBy(key).agg(part(x & y).alias("tp"), part(x & ~y).alias("fp"), part(~x & y).alias("fn"))
+
+
+def ng50(lengths: DataFrame, genome: int) -> DataFrame:
+    """As N50, against half of a given genome size in whole bases; null where the contigs don't reach it."""
+    run = lengths.groupBy("len").agg(F.sum("len").alias("s")).withColumn("cum", F.sum("s").over(Window.orderBy(F.desc("len"))))
+    return run.agg(F.max(F.when(F.col("cum") >= genome // 2, F.col("len"))).alias("ng50"))
+
+
+def dominant(rows: DataFrame, key: str, item: str, weight: str) -> DataFrame:
+    """The item of most weight for each key, and that weight; the least item among equals."""
+    sums = rows.groupBy(key, item).agg(F.sum(weight).alias("w"))
+    return sums.groupBy(key).agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(item).alias("item"))).alias("m")).select(key, F.col("m.item").alias(item), (-F.col("m.w")).alias("weight"))
+
+
+def feature_match(mine: DataFrame, model: DataFrame, key: str, gap: int) -> DataFrame:
+    """Features of mine that meet some of the model, features of the model that some of mine meets, and both totals."""
+    met = overlap_join(mine, model, key, gap)
+    parts = met.select("id").distinct().select(F.lit("tp").alias("of"))
+    for name, rows in (("recalled", met.select("model_id").distinct()), ("n_mine", mine), ("n_model", model)):
+        parts = parts.unionByName(rows.select(F.lit(name).alias("of")))
+    return parts.agg(*[F.count_if(F.col("of") == x).alias(x) for x in ("tp", "recalled", "n_mine", "n_model")])
+
+
+def spelling_offsets(steps: DataFrame, key: str, length: str, k: int = KMER) -> DataFrame:
+    """Where each step of a path begins in its spelled sequence: neighbours share k bases."""
+    w = Window.partitionBy(key).orderBy("hit_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn("offset", F.coalesce(F.sum(F.col(length) - k).over(w), F.lit(0)).cast("long"))
+
+
+def nearest_markers(hits: DataFrame, marker: Column) -> DataFrame:
+    """The nearest marker before and after each hit of its read."""
+    w = Window.partitionBy("read_id").orderBy("hit_seq")
+    node = F.when(marker, F.col("node_id"))
+    before = F.last(node, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return hits.withColumn("before", before).withColumn("after", F.first(node, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+
+def anchor_pairs(hits: DataFrame, anchor: Column) -> DataFrame:
+    """Consecutive anchors of a read as (read_id, a, b)."""
+    w = Window.partitionBy("read_id").orderBy("hit_seq")
+    return hits.where(anchor).select("read_id", F.col("node_id").alias("a"), F.lead("node_id").over(w).alias("b")).where("b is not null")
+
+
+def gap_statistics(hits: DataFrame) -> DataFrame:
+    """Number and size of the largest of the gaps between a read's hits and all before them."""
+    w = Window.partitionBy("read_id").orderBy("left", "right").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = hits.select((F.col("left") - F.max("right").over(w)).alias("gap")).where("gap > 0")
+    return gaps.agg(F.count(F.lit(1)).alias("gaps"), F.max("gap").alias("max_gap"))
+
+
+def copies_histogram(hits: DataFrame) -> DataFrame:
+    """k, the reads with k units, and the units in them."""
+    reads = hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("k"))
+    return reads.groupBy("k").agg(F.count(F.lit(1)).alias("reads")).withColumn("units", F.col("k") * F.col("reads"))
+
+
+def reciprocal_links(links: DataFrame) -> DataFrame:
+    """Distinct links (a, b) that also exist the other way round: a count by unordered pair, no self join."""
+    once = links.where("a <> b").select("a", "b").distinct()
+    pairs = once.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.where("n = 2").select("a", "b")
+
+
+def column_consensus(rows: DataFrame, key: str, text: str, letters: str = "ACGTN-") -> DataFrame:
+    """The most frequent letter of each column of a key's aligned texts, the first in letters among equals; gap columns are dropped."""
+    at = rows.select(key, F.posexplode(F.split(text, "")).alias("pos", "letter")).where(F.instr(F.lit(letters), F.col("letter")) > 0)
+    votes = at.groupBy(key, "pos", F.instr(F.lit(letters), F.col("letter")).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy(key, "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "i"))["i"].alias("i"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("i") < len(letters), F.struct("pos", F.substring(F.lit(letters), F.col("i"), F.lit(1)).alias("c")))))
+    return best.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("consensus"))

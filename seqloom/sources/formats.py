@@ -39,3 +39,20 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.text(path).where("value not like '#%'").select(F.split("value", "\t").alias("f")).where("size(f) >= 3")
     at = lambda i: F.get("f", F.lit(i))
     return f.select(at(0).alias("parent"), (at(1).cast("int") + 1).alias("start"), at(2).cast("int").alias("end"), at(3).alias("id"), at(4).cast("double").alias("score"), at(5).alias("strand"))
+
+
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    """contig and bin_id of each line; bin 0 means none."""
+    f = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where("size(f) >= 2")
+    return f.select(F.col("f")[0].alias("contig"), F.expr("try_cast(f[1] as int)").alias("bin_id")).where("bin_id <> 0")
+
+
+def write_bed(rows: DataFrame, path: str) -> None:
+    """Tab-separated lines with 0-based starts; a null field is a dot."""
+    at = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    rows.select(F.concat_ws("\t", "parent", (F.col("start") - 1).cast("string"), at("end"), at("id"), at("score"), at("strand")).alias("value")).write.text(path)
+
+
+def write_fastq(rows: DataFrame, path: str) -> None:
+    """Four lines a record."""
+    rows.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value")).write.text(path)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from seqloom import catalog
+from seqloom.operators import relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,14 @@ def test_same_rows_as_sql(spark, name):
     df = catalog.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(cols)
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == want
+
+
+def test_consensus_drops_gap_columns(spark):
+    rows = spark.createDataFrame([("x", "AC-GT"), ("x", "ACAGT"), ("x", "AC-TT")], "k string, row string")
+    assert [tuple(r) for r in relational.column_consensus(rows, "k", "row").collect()] == [("x", "ACGT")]
+
+
+def test_feature_match(spark):
+    make = lambda v: spark.createDataFrame([(i, 1, a, b) for i, (a, b) in enumerate(v)], "id long, k long, start long, end long")
+    got = relational.feature_match(make([(1, 10), (21, 30)]), make([(6, 15), (21, 25), (35, 38)]), "k", 3).collect()
+    assert [tuple(r) for r in got] == [(2, 2, 2, 3)]

@@ -20,3 +20,13 @@ def test_gfa_paf_bed(spark, tmp_path):
     assert (r.read_start, r.read_end, r.ref_start, r.cigar) == (1, 100, 11, "100M")
     (tmp_path / "b").write_text("c\t0\t10\nc\t5\t9\tid\t1.5\t-\n")
     assert sorted((r.start, r.end, r.id) for r in formats.read_bed(spark, str(tmp_path / "b")).collect() if r.id) == [(6, 9, "id")]
+
+
+def test_bins_bed_and_fastq(spark, tmp_path):
+    (tmp_path / "bins").write_text("c1 3\nc2\t0\n\nc3   4\n")
+    assert sorted(tuple(r) for r in formats.read_bins(spark, str(tmp_path / "bins")).collect()) == [("c1", 3), ("c3", 4)]
+    rows = [("p", 5, 9, "f", 1.5, "-"), ("q", 1, 2, "g", 0.0, "+")]
+    formats.write_bed(spark.createDataFrame(rows, "parent string, start int, end int, id string, score double, strand string"), str(tmp_path / "bed"))
+    assert sorted(tuple(r) for r in formats.read_bed(spark, str(tmp_path / "bed")).collect()) == rows
+    formats.write_fastq(spark.createDataFrame([("r", "ACGT", "IIII")], "name string, seq string, qual string"), str(tmp_path / "fq"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "fq")).collect()] == ["@r", "ACGT", "+", "IIII"]
