@@ -4,9 +4,11 @@ Terms are the runs of SHINGLE space-separated words of a text (all words of a sh
 occur; each term's 128-bit hash votes on the signed bits. The votes are kept as counts of ones, four counters in a long, and
 summed by a hash aggregate whose first half runs where the text is read; no text is grouped.
 
-`near_counts` finds all fingerprints within RADIUS bits: the 128 bits are cut into RADIUS + 2 blocks, so two equal ones
-remain for any pair within the radius, and a table for each pair of blocks is joined on their bits. Fingerprints of one
-bucket are met as arrays, so large buckets make no rows for pairs, and a pair counts only in the first table that has it.
+`near_counts` finds all fingerprints within RADIUS bits. Texts with a Jaccard index of 0.75 have a cosine of 0.857 and differ in
+22 bits on average (standard deviation 4.3), so RADIUS = 30 holds 97 % of such pairs and nearly all above. No table of equal
+blocks is exact and selective at that radius, so every asked fingerprint meets every distinct one, in one compiled loop: the
+corpus in chunks of CHUNK neighbours by value, the asked ones broadcast in parts of ASKED. Only chunks with a near
+fingerprint make rows. The work grows with the square of the table (a twentieth of all pairs), the rows do not.
 
 Defined cases: a null text is empty; a null doc_id comes first in order; rows of one doc_id are ordered by their text's
 hash; a single row is its own next document; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -15,17 +17,18 @@ hash; a single row is its own next document; an empty table gives no rows; colum
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, with_free_name, written
+from .common import bucket_of, shuffle_partitions, with_free_name, written
 
-SHINGLE, BITS, RADIUS = 5, 128, 4
-#: Rows in a run of consecutive doc_ids, and the most runs; arrays that a bucket's fingerprints are dealt to.
-RUN, RUNS, ARRAYS = 2048, 8192, 16
+SHINGLE, BITS, RADIUS = 5, 128, 30
+#: Rows in a run of consecutive doc_ids, and the most runs.
+RUN, RUNS = 2048, 8192
+#: Fingerprints of the corpus that are compared in one row, and asked ones in a broadcast.
+CHUNK, ASKED = 16, 1 << 18
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 SPAN, LANES = 1 << 15, 0x0001000100010001
 
@@ -74,34 +77,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return votes(rows, "h", ["rk"], ["doc_id"]).select("doc_id", "f1", "f2")
 
 
-def blocks_of(f1: Column, f2: Column) -> list[Column]:
-    """The 128 bits in RADIUS + 2 = 6 blocks of 21 or 22 bits."""
-    out = []
-    for f in (f1, f2):
-        out += [f.bitwiseAND(F.lit((1 << 22) - 1)), F.shiftrightunsigned(f, 22).bitwiseAND(F.lit((1 << 21) - 1)), F.shiftrightunsigned(f, 43)]
-    return out
-
-
 def near_counts(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """(f1, f2, n_near) for each distinct query fingerprint: how many rows of prints lie within RADIUS bits."""
-
-    def tables(rows: DataFrame, *more: str) -> DataFrame:
-        b = blocks_of(F.col("f1"), F.col("f2"))
-        keys = [F.lit(t << 44).bitwiseOR(F.shiftleft(b[i], 22)).bitwiseOR(b[j]) for t, (i, j) in enumerate(combinations(range(6), 2))]
-        return rows.select("f1", "f2", *more, F.posexplode(F.array(*keys)).alias("table", "key"))
-
-    corpus = tables(prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")), "n")
-    asked = tables(queries.select("f1", "f2").distinct()).select(F.col("f1").alias("q1"), F.col("f2").alias("q2"), "table", "key")
-    corpus = corpus.join(asked.select("key").distinct(), "key", "left_semi")
-    arrays = corpus.groupBy("key", F.pmod(F.xxhash64("f1", "f2"), F.lit(ARRAYS)).alias("deal")).agg(F.collect_list(F.struct("f1", "f2", "n")).alias("found"))
-
-    def counted(x: Column) -> Column:
-        equal = [p == q for p, q in zip(blocks_of(x["f1"], x["f2"]), blocks_of(F.col("q1"), F.col("q2")), strict=True)]
-        near = F.bit_count(x["f1"].bitwiseXOR(F.col("q1"))) + F.bit_count(x["f2"].bitwiseXOR(F.col("q2"))) <= RADIUS
-        first = F.coalesce(*[F.when(equal[i] & equal[j], F.lit(t)) for t, (i, j) in enumerate(combinations(range(6), 2))])
-        return near & (first == F.col("table"))
-
-    met = asked.join(arrays, "key").select("q1", "q2", F.aggregate(F.filter("found", counted), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"))
+    n = shuffle_partitions(prints.sparkSession)
+    distinct = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(n, "f1", "f2").sortWithinPartitions("f1", "f2")
+    placed = distinct.withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK)).repartition(n, "chunk")
+    chunks = written(placed.groupBy("chunk").agg(*[F.collect_list(c).alias(c) for c in ("f1", "f2", "n")]), "chunks").repartition(n)
+    asked = written(queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct(), "asked")
+    parts = max(1, -(-asked.count() // ASKED))
+    away = lambda i: F.bit_count(F.get("f1", i).bitwiseXOR(F.col("q1"))) + F.bit_count(F.get("f2", i).bitwiseXOR(F.col("q2")))
+    nearest = F.least(*[away(F.lit(i)) for i in range(CHUNK)])  # places beyond the last are null, which least() skips
+    near = F.aggregate(F.sequence(F.lit(0), F.size("f1") - 1), F.lit(0).cast("long"), lambda s, i: s + F.when(away(i) <= RADIUS, F.get("n", i)).otherwise(0))
+    met = None
+    for p in range(parts):
+        part = chunks.join(F.broadcast(asked.where(F.pmod(F.xxhash64("q1", "q2"), F.lit(parts)) == p)), nearest <= RADIUS).select("q1", "q2", near.alias("n"))
+        met = part if met is None else met.unionByName(part)
     return met.groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("n").alias("n_near"))
 
 

@@ -87,6 +87,29 @@ def test_simhash(docs, texts):
         assert got[i * 7].n_near == sum((prints[i] ^ p).bit_count() <= simhash.RADIUS for p in prints)
 
 
+def test_simhash_counts_near_copies(spark):
+    r = random.Random(11)
+    jaccard_of = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, seen = [], []
+    for base in range(0, 400, 20):
+        words_ = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows.append((base, " ".join(words_)))
+        for k, edits in enumerate((2, 4, 7, 9, 11), 1):
+            copy = list(words_)
+            for at in range(edits):
+                copy[20 + at * 30] = f"x{base}-{k}-{at}"
+            seen.append(jaccard_of(grams(words_), grams(copy)))
+            rows.append((base + k, " ".join(copy)))
+    assert 0.75 <= min(seen) < 0.77 and max(seen) > 0.95
+    got = by_id(simhash.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = sum(got[base].n_near - 1 for base in range(0, 400, 20))
+    assert 0.95 * len(seen) <= found <= len(seen)
+    prints = [int(g.fingerprint, 16) for g in got.values()]
+    for base in range(0, 400, 20):
+        assert got[base].n_near == sum((int(got[base].fingerprint, 16) ^ p).bit_count() <= simhash.RADIUS for p in prints)
+
+
 def test_shards(docs, texts):
     got = by_id(shards.assign(docs))
     sizes = Counter()
