@@ -3,12 +3,11 @@
 1. Every page is cut into tokens: tags with their class, id and role, told apart by the path they stand on, and text
    nodes. A token's occurrence vector (its count in each page of the host) is kept as a sum of hashes of (page, count),
    so that it is added up by a plain aggregate; a host's pages never meet in one task.
-2. Tokens of a host with equal vectors, present in most of its pages, form a class. A class is valid if it has several
-   tokens; tag classes that occur once a page are nested by the places of their tokens and make the host's template.
-3. Each page is read again with its host's template. Template tags cut it into slots; a slot is dropped if it lies in an
-   element whose name, role or class says menu, header, footer, sidebar, notice, advert, form, script, style or comments,
-   or if its text is template text (of a valid class of text nodes) outside the article. Of what is left the article is
-   taken: the elements that say so (article, main, articleBody); where a page has none, the template slots with most text.
+2. Text nodes of a host with equal vectors, present in most of its pages and once in each, are template text.
+3. Each page is read again with its host's template. Text is dropped if it lies in an element whose name, role or class says
+   menu, header, footer, sidebar, notice, advert, form, script, style or comments, or if it is template text outside the
+   article. Of what is left the article is taken: the elements that say so (article, main, articleBody); where a page has
+   none, all of it, however short.
 
 The template of a host is bounded: a token must be in SHARE of the pages, so a host has at most mean tokens / SHARE of
 them. Templates are broadcast while they are under TEMPLATE_ROWS rows, else joined by host.
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import with_free_name, written
 
-#: Part of a host's pages that have a template token, pages that a host needs for a template, and tokens of a valid class.
-SHARE, PAGES, CLASS = 0.6, 5, 2
+#: Part of a host's pages that have a template token, and pages that a host needs for a template.
+SHARE, PAGES = 0.6, 5
 TEMPLATE_ROWS = 100_000
 #: A task sends its counts on when it holds so many tokens.
 HELD = 200_000
@@ -180,19 +179,18 @@ def _counts(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tags, texts): the tokens of each host's valid classes that occur once a page, tags and text nodes apart."""
+    """(host, texts): the text nodes of each host's valid classes that occur once a page."""
     size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     summed = _counts(pages).groupBy("host", "token").agg(F.first("tag").alias("tag"), F.sum("pages").alias("pages"), F.sum("count").alias("count"), F.sum("low").alias("low"), F.sum("high").alias("high"))
     frequent = summed.join(size, "host").where((F.col("size") >= PAGES) & (F.col("pages") >= SHARE * F.col("size")))
     classes = frequent.groupBy("host", "tag", "pages", "count", "low", "high").agg(F.collect_list("token").alias("tokens"))
-    valid = classes.where((F.col("count") == F.col("pages")) & ((F.size("tokens") >= CLASS) | ~F.col("tag")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("tag"), F.col("tokens")))).alias("tags"), F.flatten(F.collect_list(F.when(~F.col("tag"), F.col("tokens")))).alias("texts"))
+    valid = classes.where((F.col("count") == F.col("pages")) & ~F.col("tag"))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("texts"))
 
 
-def main_text(page: str, template_tags: frozenset[int] = frozenset(), template_texts: frozenset[int] = frozenset()) -> str:
+def main_text(page: str, template_texts: frozenset[int] = frozenset()) -> str:
     """The article of a page, a line for each block."""
-    blocks: list[tuple[bool, int, list[str]]] = []  # in an article, slot, parts
-    slot = 0
+    blocks: list[tuple[bool, list[str]]] = []  # in an article, parts
     open_block = False
     for kind, what, stack in tokens(page):
         if kind == "text":
@@ -203,30 +201,22 @@ def main_text(page: str, template_tags: frozenset[int] = frozenset(), template_t
             if not article and template_texts and _signed(_hash("text", " ".join(what.split()))) in template_texts:
                 continue
             if not open_block:
-                blocks.append((article, slot, []))
+                blocks.append((article, []))
                 open_block = True
-            blocks[-1][2].append(what)
+            blocks[-1][1].append(what)
         elif kind == "open":
             if what in BLOCKS:
                 open_block = False
-                if template_tags and _signed(_hash("tag", "/".join(e.name for e in stack[:-1]), stack[-1].key)) in template_tags:
-                    slot += 1
             elif what == "br" and open_block:
-                blocks[-1][2].append(" ")
+                blocks[-1][1].append(" ")
             if stack[-1].dropped and what not in VOID:
                 open_block = open_block and what not in BLOCKS
         elif what in BLOCKS:
             open_block = False
-    lines = [(a, s, t) for a, s, parts in blocks if (t := " ".join(_html.unescape("".join(parts)).split()))]
-    if any(a for a, _, _ in lines):
-        return "\n".join(t for a, _, t in lines if a)
-    if template_tags and lines:  # no element says article: the slots that hold most of the text, near the largest
-        volume: Counter[int] = Counter()
-        for _, s, t in lines:
-            volume[s] += len(t)
-        most = max(volume.values())
-        return "\n".join(t for _, s, t in lines if volume[s] * 4 >= most)
-    return "\n".join(t for _, _, t in lines)
+    lines = [(a, t) for a, parts in blocks if (t := " ".join(_html.unescape("".join(parts)).split()))]
+    if any(a for a, _ in lines):
+        return "\n".join(t for a, t in lines if a)
+    return "\n".join(t for _, t in lines)
 
 
 def _signed(h: int) -> int:
@@ -238,20 +228,20 @@ def extract(pages: DataFrame) -> DataFrame:
     p = with_free_name(pages, "page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))))
     known = templates(p.select("page_id", "host", "html"))
     known = written(known, "templates")
-    rows = known.agg(F.coalesce(F.sum(F.size("tags") + F.size("texts") + 1), F.lit(0))).first()[0]
+    rows = known.agg(F.coalesce(F.sum(F.size("texts") + 1), F.lit(0))).first()[0]
     joined = p.join(F.broadcast(known) if rows <= TEMPLATE_ROWS else known, "host", "left")
 
     def run(batches):
-        sets: dict[str, tuple[frozenset, frozenset]] = {}
+        sets: dict[str, frozenset] = {}
         for b in batches:
-            hosts, tags, texts = (b.column(i) for i in (3, 4, 5))
+            hosts, texts = (b.column(i) for i in (3, 4))
             out = []
             for i, (page, host) in enumerate(zip(b.column(2).to_pylist(), hosts.to_pylist(), strict=True)):
                 if host not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[host] = (frozenset(tags[i].as_py() or ()), frozenset(texts[i].as_py() or ()))
-                out.append(main_text(page or "", *sets[host]))
+                    sets[host] = frozenset(texts[i].as_py() or ())
+                out.append(main_text(page or "", sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "host", "tags", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -219,6 +219,14 @@ def test_html(spark):
     assert got == {1: "T\nHello world x &lt;\nb c", 2: "", 3: "", 4: "One\nTwo é"}
 
 
+def test_html_keeps_short_slots_without_article(spark):
+    long = lambda i: " ".join(f"word{i}x{k}" for k in range(200))
+    page = lambda i: f"<body><div class=top2>Same top</div><div class=post><h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=text><p>{long(i)}</p></div><h2>Part {i}</h2><div class=end>End {i}</div></div>"
+    rows = [(i, "http://h/x", page(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nLead {i}\n{long(i)}\nPart {i}\nEnd {i}" for i in range(6)}
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for f in (pii.digest, simhash.digest, shards.assign, lambda d: decontaminate.digest(d, bench), repeats.digest, packing.pack, language.digest, jaccard.components):
