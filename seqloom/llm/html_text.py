@@ -1,12 +1,14 @@
 """HTML main text by equivalence-class template deduction over the pages of a host.
 
 1. Every page is cut into tokens: tags with their class, id and role, told apart by the path they stand on, and text
-   nodes. A token's occurrence vector (its count in each page of the host) is kept as a sum of hashes of (page, count),
-   so that it is added up by a plain aggregate; a host's pages never meet in one task.
-2. Text nodes of a host with equal vectors, present in most of its pages and once in each, are template text.
-3. Each page is read again with its host's template. Text is dropped if it lies in an element whose name, role or class says
-   menu, header, footer, sidebar, notice, advert, form, script, style or comments, or if it is template text outside the
-   article. Of what is left the article is taken: the elements that say so (article, main, articleBody); where a page has
+   nodes. A token's occurrence vector (its count in each different page of the host) is kept as a sum of hashes of (page,
+   count), so that it is added up by a plain aggregate; a host's pages never meet in one task. Copies of a page count once.
+2. Tokens of a host with equal vectors, present in most of its pages, form a class. A class is valid if it has several
+   tokens, tags or text nodes, each once a page; the text nodes of valid classes are the host's template text.
+3. Each page is read again with its host's template, which decides on all pages, inside the article too: a block is dropped
+   if all its text is template text; a block with any text of its own stays whole. As further evidence it is dropped if it
+   lies in an element whose name, role or class says menu, header, footer, sidebar, notice, advert, form, script, style or
+   comments. Of what is left the article is taken: the elements that say so (article, main, articleBody); where a page has
    none, all of it, however short.
 
 The template of a host is bounded: a token must be in SHARE of the pages, so a host has at most mean tokens / SHARE of
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import with_free_name, written
 
-#: Part of a host's pages that have a template token, and pages that a host needs for a template.
-SHARE, PAGES = 0.6, 5
+#: Part of a host's pages that have a template token, pages that a host needs for a template, and tokens of a valid class.
+SHARE, PAGES, CLASS = 0.6, 5, 2
 TEMPLATE_ROWS = 100_000
 #: A task sends its counts on when it holds so many tokens.
 HELD = 200_000
@@ -131,18 +133,15 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
 
 
-def page_tokens(page: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, bool, bool]]]:
-    """Hashed template tokens of a page: tags as (hash, key), text nodes as (hash, text, dropped, in an article)."""
+def page_tokens(page: str) -> tuple[list[int], list[int]]:
+    """Hashed template tokens of a page: tags and text nodes."""
     tags, texts = [], []
     for kind, what, stack in tokens(page):
         if kind == "text":
-            s = " ".join(what.split())
-            if s:
-                top = stack[-1] if stack else None
-                texts.append((_hash("text", s), what, bool(top and top.dropped), bool(top and top.article)))
+            if t := " ".join(what.split()):
+                texts.append(_hash("text", t))
         elif kind == "open":
-            path = "/".join(e.name for e in stack[:-1])
-            tags.append((_hash("tag", path, stack[-1].key), stack[-1].key))
+            tags.append(_hash("tag", "/".join(e.name for e in stack[:-1]), stack[-1].key))
     return tags, texts
 
 
@@ -161,11 +160,10 @@ def _counts(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, ["host", "token", "tag", "pages", "count", "low", "high"])
 
         for b in batches:
-            for page_id, host, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for host, page in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 tags, texts = page_tokens(page or "")
-                name = str(page_id)
-                # text inside the article is never template text: only what stands around it is counted
-                for is_tag, found in ((True, Counter(t[0] for t in tags)), (False, Counter(t[0] for t in texts if not t[3]))):
+                name = str(_hash(page or ""))
+                for is_tag, found in ((True, Counter(tags)), (False, Counter(texts))):
                     for token, n in found.items():
                         v = held.setdefault((host, token), [is_tag, 0, 0, 0])
                         v[1] += 1
@@ -180,30 +178,29 @@ def _counts(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, texts): the text nodes of each host's valid classes that occur once a page."""
-    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    summed = _counts(pages).groupBy("host", "token").agg(F.first("tag").alias("tag"), F.sum("pages").alias("pages"), F.sum("count").alias("count"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+    size = pages.select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    summed = _counts(pages.select("host", "html").distinct()).groupBy("host", "token").agg(F.first("tag").alias("tag"), F.sum("pages").alias("pages"), F.sum("count").alias("count"), F.sum("low").alias("low"), F.sum("high").alias("high"))
     frequent = summed.join(size, "host").where((F.col("size") >= PAGES) & (F.col("pages") >= SHARE * F.col("size")))
-    classes = frequent.groupBy("host", "tag", "pages", "count", "low", "high").agg(F.collect_list("token").alias("tokens"))
-    valid = classes.where((F.col("count") == F.col("pages")) & ~F.col("tag"))
+    classes = frequent.groupBy("host", "pages", "count", "low", "high").agg(F.count(F.lit(1)).alias("k"), F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("tokens"))
+    valid = classes.where((F.col("count") == F.col("pages")) & (F.col("k") >= CLASS))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("texts"))
 
 
 def main_text(page: str, template_texts: frozenset[int] = frozenset()) -> str:
     """The article of a page, a line for each block."""
-    blocks: list[tuple[bool, list[str]]] = []  # in an article, parts
+    blocks: list[list] = []  # in an article, parts, whether any text is not the template's
     open_block = False
     for kind, what, stack in tokens(page):
         if kind == "text":
             top = stack[-1] if stack else None
             if top is not None and top.dropped:
                 continue
-            article = bool(top and top.article)
-            if not article and template_texts and _signed(_hash("text", " ".join(what.split()))) in template_texts:
-                continue
             if not open_block:
-                blocks.append((article, []))
+                blocks.append([bool(top and top.article), [], not template_texts])
                 open_block = True
             blocks[-1][1].append(what)
+            if not blocks[-1][2] and (s := " ".join(what.split())):
+                blocks[-1][2] = _signed(_hash("text", s)) not in template_texts
         elif kind == "open":
             if what in BLOCKS:
                 open_block = False
@@ -213,10 +210,9 @@ def main_text(page: str, template_texts: frozenset[int] = frozenset()) -> str:
                 open_block = open_block and what not in BLOCKS
         elif what in BLOCKS:
             open_block = False
-    lines = [(a, t) for a, parts in blocks if (t := " ".join(_html.unescape("".join(parts)).split()))]
-    if any(a for a, _ in lines):
-        return "\n".join(t for a, t in lines if a)
-    return "\n".join(t for _, t in lines)
+    lines = [(a, own, t) for a, parts, own in blocks if (t := " ".join(_html.unescape("".join(parts)).split()))]
+    inside = any(a for a, _, _ in lines)
+    return "\n".join(t for a, own, t in lines if own and a == inside)
 
 
 def _signed(h: int) -> int:
@@ -226,7 +222,7 @@ def _signed(h: int) -> int:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     p = with_free_name(pages, "page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))))
-    known = templates(p.select("page_id", "host", "html"))
+    known = templates(p.select("host", "html"))
     known = written(known, "templates")
     rows = known.agg(F.coalesce(F.sum(F.size("texts") + 1), F.lit(0))).first()[0]
     joined = p.join(F.broadcast(known) if rows <= TEMPLATE_ROWS else known, "host", "left")

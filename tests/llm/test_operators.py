@@ -227,6 +227,15 @@ def test_html_keeps_short_slots_without_article(spark):
     assert got == {i: f"Title {i}\nLead {i}\n{long(i)}\nPart {i}\nEnd {i}" for i in range(6)}
 
 
+def test_html_drops_template_text_inside_article(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Text {i} <b>and</b> more {i}</p><div class=x1>Share this <i>page</i></div><p>End {i}</p></article></body>"
+    rows = [(i, "http://h/x", page(i)) for i in range(6)] + [(10 + i, "http://copies/x", page(99)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"Title {i}\nText {i} and more {i}\nEnd {i}"
+    whole = "Title 99\nText 99 and more 99\nShare this page\nEnd 99"  # copies of one page say nothing of a template
+    assert got == {i: own(i) for i in range(6)} | {10 + i: whole for i in range(6)}
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for f in (pii.digest, simhash.digest, shards.assign, lambda d: decontaminate.digest(d, bench), repeats.digest, packing.pack, language.digest, jaccard.components):
