@@ -3,8 +3,8 @@
 Seeds are the matches of four fixed forms. Identifier-like tokens (with a digit or an @) are the other instances; a lexical
 pattern is the word before an instance, or the key a token begins with (`key=...`). Over the graph of patterns and
 instances each round scores a pattern by the confident instances it meets against all its occurrences in the corpus, and
-an instance by its best pattern; accepted instances support patterns in the next round. Patterns need SUPPORT distinct
-instances and a score of CONFIDENCE; what they find is added as spans of their kind, and seed spans always stay.
+an instance by its best pattern; accepted instances support patterns in the next round, also those that no seed
+stands behind. In each round patterns need SUPPORT distinct accepted instances and a score of CONFIDENCE; what they find is added as spans of their kind, and seed spans always stay.
 
 Defined cases: a null text is empty; rows without spans have zero counts and empty strings; equal rows get equal results;
 an empty table gives no rows; other columns are not read. Each pattern below matches in time linear in the text: repeats
@@ -121,7 +121,8 @@ def discovered(rows: DataFrame, found: DataFrame) -> DataFrame:
     occ = written(occ.withColumn("stop", F.col("start") + F.length("value")).where("length(value) >= 6"), "occurrences")
     edges = occ.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
     edges = written(edges, "edges")
-    support = edges.where("seed is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SUPPORT).select("pattern")
+    # a pattern of fewer instances of any sort can't be good in any round; SUPPORT of accepted ones is asked for in each
+    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SUPPORT).select("pattern")
     edges = written(edges.join(support, "pattern"), "edges")
     # how often each such word stands anywhere in the corpus; a bitmap of fixed size drops most others early
     bit = F.pmod(F.xxhash64("word"), F.lit(WORD_BITS))

@@ -75,6 +75,16 @@ def test_bootstrapped_pattern_finds_unseen_identifiers(spark):
     assert got[100].spans == "email:15:25" and got[100].n_email == 0 and got[101].spans == ""
 
 
+def test_bootstrapped_pattern_of_accepted_instances(spark):
+    rows = [(i, f"alpha contact: user{i}@mail.org gamma") for i in range(8)]
+    for k in range(3):  # accepted by 'contact:', then they support 'ref:', which no seed stands behind
+        rows += [(100 + k, f"beta contact: 555123456{k} gamma"), (110 + k, f"delta ref: 555123456{k} gamma")]
+    rows += [(200, "delta ref: 777000111 gamma"), (201, "delta other 777000222 gamma")]
+    got = by_id(pii.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[100].spans == "email:14:24" and got[110].spans == "email:11:21"
+    assert got[200].spans == "email:11:20" and got[201].spans == ""
+
+
 def test_simhash(docs, texts):
     got = by_id(simhash.digest(docs))
     for i, t in enumerate(texts):
