@@ -65,6 +65,11 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def row_name() -> Column:
+    """A row's name by id and text, so that null and repeated ids are told apart; equal rows share it."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def with_free_name(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns a digest needs, so that extra columns of any name can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

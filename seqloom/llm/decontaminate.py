@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_free_name, written
+from .common import row_name, with_free_name, written
 from .kernels import PUNCT, U64, Words, chunks, shingles, string_buffers
 
 WINDOW, SHINGLE, INDEX_BYTES = 10, 3, 64 << 20
@@ -202,5 +202,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without any benchmark window."""
-    bad = hits(docs, benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    named = docs.withColumn("_row", row_name())
+    bad = hits(named.select(F.col("_row").alias("doc_id"), "text"), benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias("_bad")).distinct()
+    return named.join(bad, named["_row"] == bad["_bad"], "left_anti").drop("_row")

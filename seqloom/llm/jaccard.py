@@ -16,7 +16,8 @@
 Equal sets are one node throughout. Sets hold 56-bit shingle hashes and have 64-bit names.
 
 Defined cases: a null text or one without words has an empty set, links with nothing and is its own component; fewer than
-SHINGLE words make one shingle; a null doc_id is never the smallest; repeated rows share a component; an empty table gives
+SHINGLE words make one shingle; a null doc_id is never the smallest, and a component of
+such rows only has a null id; rows go by id and text, so null and repeated ids are told apart; repeated rows share a component; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, with_free_name, written
+from .common import row_name, shuffle_partitions, with_free_name, written
 from .components import connected
 from .kernels import SPACES, U64, Words, chunks, mix, shingles, string_buffers
 
@@ -260,7 +261,7 @@ def _members(docs: DataFrame, rank: np.ndarray, wanted: DataFrame) -> DataFrame:
                 rows = [(s, v) for v in sets if len(v) and (s := set_name(v)) not in seen and not seen.add(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([ordered(v, rank).tobytes() for _, v in rows], pa.binary())], ["sid", "elements"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "sid long, elements binary")
+    return docs.mapInArrow(run, "sid long, elements binary")
 
 
 class Node:
@@ -382,16 +383,16 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n) of every row, and enough links (a, b) between sids to join all components."""
-    d = with_free_name(docs, "doc_id", "text")
+    """(row, sid, n) of every row by its name, and enough links (a, b) between sids to join all components."""
+    d = with_free_name(docs, "doc_id", "text").select(row_name().alias("doc_id"), "text")  # from here on rows go by their names
     survey = written(_survey(d), "survey")
-    names = survey.where("block is null").select("doc_id", "sid", "n")
+    names = survey.where("block is null").select(F.col("doc_id").alias("row"), "sid", "n")
     rank = rarity(_summed(survey.where("block is not null"), SLOTS, np.uint32, np.add))
     met = written(_enough(written(_shared(_prefixes(d, rank)), "shared")), "met")
     met = written(_peeled(met.withColumn("root", F.col("sid"))), "met")
     ties = written(_ties(met), "ties")
     blocks = connected(ties).select(F.col("node").alias("sid"), F.col("root").alias("block"))
-    first = names.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    first = names.where("n > 0").groupBy("sid").agg(F.min("row").alias("doc_id"))
     wanted = written(first.join(blocks, "sid"), "wanted")
     size = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     placed = wanted.join(size, "block").withColumn("cuts", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts")).cast("int"))
@@ -485,23 +486,32 @@ def _elements(members: DataFrame) -> DataFrame:
     return members.select("elements", "sid", "root").mapInArrow(run, "tok long, sid long, root long, n int")
 
 
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, sid, n) of every row; and (sid, root, low, first) of every set: its least doc_id, and its first row, those of null doc_id last."""
+    names, found = links(docs)
+    ids = with_free_name(docs, "doc_id", "text").select(row_name().alias("row"), "doc_id").distinct()
+    names = written(names.join(ids, "row"), "names")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row"))
+    least = names.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), first.alias("first"))
+    return names, _roots(least, found)
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of the component) of every row."""
-    names, found = links(docs)
-    least = names.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    rooted = _roots(least, found)
+    names, rooted = _rooted(docs)
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of = rooted.select("sid", "root").join(low, "root").select("sid", "component_id")
     return names.join(of, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the document of least doc_id, once; rows of null doc_id stay."""
-    names = written(components(docs), "components")
-    kept = names.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    twice = names.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_id"))
+    """The rows of docs, all columns, of which each component keeps the row of least doc_id (null last), and equal rows are kept once; rows without words stay."""
+    names, rooted = _rooted(docs)
+    best = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_id"))
+    kept = best.unionByName(names.where("n = 0").select(F.col("row").alias("_id"))).distinct()
+    rows = docs.withColumn("_row", row_name()).join(kept, F.col("_row") == F.col("_id"), "left_semi")
+    twice = written(names.groupBy("row").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("row").alias("_id")), "twice")
     if twice.isEmpty():
-        return rows
-    same = rows["doc_id"] == twice["_id"]
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+        return rows.drop("_row")
+    same = F.col("_row") == F.col("_id")
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["_row"])).drop("_row")

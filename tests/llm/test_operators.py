@@ -246,6 +246,26 @@ def test_html_drops_template_text_inside_article(spark):
     assert got == {i: own(i) for i in range(6)} | {10 + i: whole for i in range(6)}
 
 
+def test_stages_tell_null_and_repeated_ids_apart(spark):
+    r = random.Random(3)
+    text = lambda tag: " ".join(f"{tag}{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text(k) for k in "abcde")
+    near = lambda t, w: " ".join([*t.split(" ")[:-1], w])
+    # a and b are near copies through rows of null id only; 7 stands for two different texts; equal rows are kept once
+    rows = [(None, a), (None, near(a, "x")), (None, near(a, "y")), (None, b), (None, ""), (7, c), (7, d), (7, d), (8, near(b, "x")), (None, e)]
+    docs = spark.createDataFrame([(*row, "k") for row in rows], "doc_id long, text string, source string")
+    got = {(x.doc_id, x.text): x.component_id for x in docs.join(jaccard.components(docs).distinct(), "doc_id").collect()}
+    assert got[8, near(b, "x")] == 8
+    of = Counter((x.doc_id, x.component_id) for x in jaccard.components(docs).collect())
+    assert of == {(None, None): 5, (None, 8): 1, (7, 7): 3, (8, 8): 1}
+    left = [(x.doc_id, x.text) for x in jaccard.one_of_each(docs).collect()]
+    assert len(left) == 6 and {(7, c), (7, d), (8, near(b, "x")), (None, ""), (None, e)} < set(left)
+    assert len({t for i, t in left if i is None} & {a, near(a, "x"), near(a, "y")}) == 1
+    bench = spark.createDataFrame([(1, " ".join(e.split(" ")[:12])), (2, " ".join(c.split(" ")[:12]))], "item_id long, text string")
+    clean = Counter((x.doc_id, x.text) for x in decontaminate.keep_clean(docs, bench).collect())
+    assert clean == Counter(x for x in rows if x[1] not in (c, e))
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for f in (pii.digest, simhash.digest, shards.assign, lambda d: decontaminate.digest(d, bench), repeats.digest, packing.pack, language.digest, jaccard.components):
