@@ -39,6 +39,15 @@ def features(s: SparkSession, d: str, n: int) -> DataFrame:
     return s.read.parquet(f"{d}/lineitem.parquet").where(c("l_linenumber") == n).select(c("l_orderkey").alias("id"), c("l_suppkey").alias("k"), ((c("l_partkey") * 37) % 50000 + 1).cast("long").alias("start"), ((c("l_partkey") * 37) % 50000 + c("l_quantity") * 20).cast("long").alias("end"))
 
 
+#: All rows of the table, split into mine (even l_orderkey) and the model (odd).
+EVERY_FEATURE = '(select (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey as id, l_suppkey as k, cast((l_partkey * 37) % 50000 + 1 as bigint) as "start", cast((l_partkey * 37) % 50000 + l_quantity * 20 as bigint) as "end" from lineitem where l_orderkey % 2 = {n})'
+
+
+def every_feature(s: SparkSession, d: str, n: int) -> DataFrame:
+    c = F.col
+    return s.read.parquet(f"{d}/lineitem.parquet").where(c("l_orderkey") % 2 == n).select(((c("l_orderkey") * 8 + c("l_linenumber")) * 100_000_000 + c("l_partkey")).alias("id"), c("l_suppkey").alias("k"), ((c("l_partkey") * 37) % 50000 + 1).cast("long").alias("start"), ((c("l_partkey") * 37) % 50000 + c("l_quantity") * 20).cast("long").alias("end"))
+
+
 def _stats(s, d):
     p = contigs(s, d)
     kc, n = (F.col("cov") * 100).cast("long"), F.col("len")
@@ -86,6 +95,10 @@ def _links(s, d):
     return s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 100).alias("a"), (F.col("l_orderkey") % 100).alias("b"))
 
 
+def _every_link(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("a"), F.col("l_orderkey").alias("b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     shares = {"n50": 0.5, "n75": 0.75}
     return {
@@ -118,6 +131,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gap_statistics": lambda s, d: R.gap_statistics(hits(s, d)),
         "copies_histogram": lambda s, d: R.copies_histogram(hits(s, d)),
         "reciprocal_links": lambda s, d: R.reciprocal_links(_links(s, d)),
+        "feature_overlaps_whole": lambda s, d: R.overlap_join(every_feature(s, d, 0), every_feature(s, d, 1), "k", 100),
+        "feature_match_whole": lambda s, d: R.feature_match(every_feature(s, d, 0), every_feature(s, d, 1), "k", 100),
+        "base_confusion_whole": lambda s, d: R.base_confusion(every_feature(s, d, 0), every_feature(s, d, 1), "k"),
+        "reciprocal_links_whole": lambda s, d: R.reciprocal_links(_every_link(s, d)),
         "column_consensus": lambda s, d: R.column_consensus(_aligned(s, d), "brand", "row"),
     }
 
@@ -155,5 +172,9 @@ def oracle_sql() -> dict[str, str]:
         "gap_statistics": f"""with x as (select "left" - max("right") over (partition by read_id order by "left", "right" rows between unbounded preceding and 1 preceding) as gap from {HITS}) select count(*) as gaps, max(gap) as max_gap from x where gap > 0""",
         "copies_histogram": f"with r as (select read_id, count(*) as k from {HITS} group by 1) select k, count(*) as reads, k * count(*) as units from r group by k",
         "reciprocal_links": "with l as (select distinct l_partkey % 100 as a, l_orderkey % 100 as b from lineitem) select x.a, x.b from l x join l y on x.a = y.b and x.b = y.a where x.a < x.b",
+        "feature_overlaps_whole": f"""select a.id, b.id as model_id from {EVERY_FEATURE.format(n=0)} a join {EVERY_FEATURE.format(n=1)} b on a.k = b.k and a."end" - b."start" >= 100 and b."end" - a."start" >= 100""",
+        "feature_match_whole": f"""with a as {EVERY_FEATURE.format(n=0)}, b as {EVERY_FEATURE.format(n=1)}, m as (select a.id, b.id as model_id from a join b on a.k = b.k and a."end" - b."start" >= 100 and b."end" - a."start" >= 100) select (select count(distinct id) from m) as tp, (select count(distinct model_id) from m) as recalled, (select count(*) from a) as n_mine, (select count(*) from b) as n_model""",
+        "base_confusion_whole": f"""with m as (select distinct k, unnest(generate_series("start", "end")) as p from {EVERY_FEATURE.format(n=0)}), o as (select distinct k, unnest(generate_series("start", "end")) as p from {EVERY_FEATURE.format(n=1)}) select coalesce(m.k, o.k) as k, count(*) filter (where m.k is not null and o.k is not null) as tp, count(*) filter (where o.k is null) as fp, count(*) filter (where m.k is null) as fn from m full join o on m.k = o.k and m.p = o.p group by 1""",
+        "reciprocal_links_whole": "with l as (select distinct l_partkey as a, l_orderkey as b from lineitem) select x.a, x.b from l x join l y on x.a = y.b and x.b = y.a where x.a < x.b",
         "column_consensus": "with t as (select p_brand as brand, translate(lpad(cast(p_partkey * 7919 % 100000000 as varchar), 8, '0'), '0123456789', 'ACGTN-ACGT') as x from part), c as (select brand, g.pos, substr(x, cast(g.pos as int), 1) as letter from t, generate_series(1, 8) as g(pos)), v as (select brand, pos, letter from c group by 1, 2, 3 qualify row_number() over (partition by brand, pos order by count(*) desc, instr('ACGTN-', letter)) = 1) select brand, coalesce(string_agg(letter, '' order by pos) filter (where letter <> '-'), '') as consensus from v group by brand",
     }

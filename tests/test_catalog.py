@@ -32,3 +32,10 @@ def test_feature_match(spark):
     make = lambda v: spark.createDataFrame([(i, 1, a, b) for i, (a, b) in enumerate(v)], "id long, k long, start long, end long")
     got = relational.feature_match(make([(1, 10), (21, 30)]), make([(6, 15), (21, 25), (35, 38)]), "k", 3).collect()
     assert [tuple(r) for r in got] == [(2, 2, 2, 3)]
+
+
+def test_whole_queries_read_every_row(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    match = catalog.queries()["feature_match_whole"](spark, SF).first()
+    assert match.n_mine + match.n_model == lines.count()
+    assert catalog._every_link(spark, SF).distinct().count() == lines.select("l_partkey", "l_orderkey").distinct().count()
