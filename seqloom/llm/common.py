@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,38 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def lean(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """run, a function over Arrow batches, whose task gives its memory back at its end: Python workers outlive their tasks,
+    and what they keep counts against the executor while other tasks run. forget: calls that drop what run remembers."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for drop in forget:
+                drop()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own rules
+                pass
+
+    return task
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for s in stems:
+        while s.lower() in taken:
+            s = "_" + s
+        taken.add(s.lower())
+        out.append(s)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,14 +1,18 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the matches of four fixed forms. Identifier-like tokens (with a digit or an @) are the other instances; a lexical
-pattern is the word before an instance, or the key a token begins with (`key=...`). Over the graph of patterns and
-instances each round scores a pattern by the confident instances it meets against all its occurrences in the corpus, and
-an instance by its best pattern; accepted instances support patterns in the next round, also those that no seed
-stands behind. In each round patterns need SUPPORT distinct accepted instances and a score of CONFIDENCE; what they find is added as spans of their kind, and seed spans always stay.
+Seeds are the matches of four fixed forms that pass their checks. Instances are all seed spans, whatever they hold (spaces as
+well), and candidates: words with a digit or an @, with the number groups that follow, that no seed overlaps. A lexical pattern
+is the word to the left of an instance (also one it is glued to: `key=...`), or that word and the one to its right together.
+Over the graph of patterns and instances each round scores a pattern by the accepted instances it meets against all its
+occurrences in the corpus (an instance not accepted yet counts UNKNOWN, a word that is no instance or one of another kind nothing),
+and accepts the instances of good patterns: SUPPORT distinct accepted instances of a kind, score CONFIDENCE.
+Rounds end when one accepts nothing new; sets only grow, so they do. Candidates that stand in a good pattern become spans of
+its kind, and so do all others of the same text if CONFIDENCE of its occurrences stand in good ones; seed spans always stay.
 
 Defined cases: a null text is empty; rows without spans have zero counts and empty strings; equal rows get equal results;
-an empty table gives no rows; other columns are not read. Each pattern below matches in time linear in the text: repeats
-are possessive where nothing they could give back would match, and a run of one class is tried once, from its start.
+an empty table gives no rows; other columns are not read, whatever their names; of kinds that score the same the first listed
+counts. Each pattern below matches in time linear in the text: repeats are possessive where nothing they could give back
+would match, and a run of one class is tried once, from its start.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import with_free_name, written
+from .common import free_names, with_free_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -26,9 +30,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9][0-9().-]*+(?!\S))*+"
+SUPPORT, CONFIDENCE, UNKNOWN = 3, 0.6, 0.5
 MARKS = ".,;!?()[]{}<>\"'`*-_/|\\"
+#: Marks that may open a value, after a word or alone, and white space.
+MARKS_ONLY = "\"'`<([{"
+OPENING = MARKS_ONLY + " \t\n\r\x0b\x0c"
 #: Bits of the bitmap by which words that may be patterns are told from others before they are counted.
 WORD_BITS = 1 << 16
 
@@ -61,8 +68,26 @@ def named(docs: DataFrame) -> DataFrame:
     return d.withColumns({"rk": F.xxhash64("doc_id", "text"), "tk": F.xxhash64(F.lit(17), "text")})
 
 
+def _last_word(text: Column) -> Column:
+    """The word that text ends with, before white space and opening marks; where it has no letter, the word before it as well."""
+    end = F.rtrim(F.regexp_replace(F.rtrim(text, F.lit(OPENING)), r"\s+", " "))
+    one, two = F.substring_index(end, " ", -1), F.substring_index(end, " ", -2)
+    return F.when(one.rlike(r"\p{L}"), one).otherwise(two)
+
+
+def _left(gap: Column) -> Column:
+    """The left context word of what follows gap; only where it fills the last 200 characters is the whole gap looked at."""
+    near = F.right(gap, F.lit(200))
+    return F.when((F.length(gap) <= 200) | (F.length(_last_word(near)) <= 100), _last_word(near)).otherwise(_last_word(gap))
+
+
+def _right(gap: Column) -> Column:
+    """The first whole word of what comes after an instance's own token."""
+    return F.regexp_extract(gap, r"^\S*+\s++(\S++)", 1)
+
+
 def matches(rows: DataFrame) -> DataFrame:
-    """(rk, tk, kind, i, gap, token, before, start, stop) of all matches; kind 4 is a candidate, with the word before it."""
+    """(rk, tk, kind, i, gap, token, left, right, glued, start, stop) of all matches; kind 4 is a candidate. glued: nothing but opening marks stands between the left word and the match."""
     none = F.array().cast("array<string>")
     found = rows.where(F.col("text").rlike("[0-9@]"))
     found = found.withColumns(
@@ -74,83 +99,127 @@ def matches(rows: DataFrame) -> DataFrame:
             "m4": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
         }
     )
+    shape = "array<struct<kind:int,i:int,gap:int,token:string,left:string,right:string,glued:boolean>>"
 
     def listed(k: int, pattern: str) -> Column:
         m, gaps = F.col(f"m{k}"), F.split("text", pattern, -1)
-        word = (lambda g: F.substring_index(F.rtrim(F.translate(F.right(g, F.lit(200)), "\n\t\r", "   ")), " ", -1)) if k == 4 else (lambda g: F.lit(None).cast("string"))
-        one = lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["t"].alias("token"), word(x["g"]).alias("before"))
-        kind = "array<struct<kind:int,i:int,gap:int,token:string,before:string>>"
-        return F.when(F.size(m) > 0, F.transform(F.slice(F.arrays_zip(gaps.alias("g"), m.alias("t")), F.lit(1), F.size(m)), one)).otherwise(F.array().cast(kind))
+        sound = (lambda t: F.lit(True)) if k == 4 else (lambda t: holds(F.lit(k), t))
+
+        def one(x, i):
+            there = sound(x["t"])  # the context of a match that fails is of no use
+            glued = ~F.rtrim(x["g"], F.lit(MARKS_ONLY)).rlike(r"(^|\s)\z")
+            return F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["t"].alias("token"), F.when(there, _left(x["g"])).alias("left"), F.when(there, _right(x["n"])).alias("right"), F.when(there, glued).alias("glued"))
+
+        zipped = F.arrays_zip(gaps.alias("g"), m.alias("t"), F.slice(gaps, F.lit(2), F.size(m)).alias("n"))
+        return F.when(F.size(m) > 0, F.transform(F.slice(zipped, F.lit(1), F.size(m)), one)).otherwise(F.array().cast(shape))
 
     every = F.concat(*[listed(k, p) for k, p in enumerate([*PATTERNS.values(), CANDIDATE])])
     flat = found.select("rk", "tk", F.explode(every).alias("x")).select("rk", "tk", "x.*").dropDuplicates(["rk", "tk", "kind", "i"])
     run = Window.partitionBy("rk", "tk", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("token")
     stop = F.sum(F.col("gap").cast("long") + size).over(run)
-    return flat.withColumn("stop", stop).withColumn("start", F.col("stop") - size)
-
-
-def _words(text: Column) -> Column:
-    return F.split(text, "[\\s]+")
+    placed = flat.withColumn("stop", stop).withColumn("start", F.col("stop") - size)
+    return placed.where(F.col("glued").isNotNull())
 
 
 def _clean(word: Column) -> Column:
-    """A word as a pattern: lower case, without the marks around it but for those that end a label (: = #)."""
+    """A word as a context: lower case, without the marks around it but for those that end a label (: = #)."""
     return F.btrim(F.lower(word), F.lit(MARKS))
 
 
-def discovered(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(rk, tk, kind, start, stop) of candidates that patterns with enough support and confidence point to."""
-    base = found.where("kind < 4").select("rk", "tk", "kind", "start", "stop", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("before"))
-    cands = found.where("kind = 4").select("rk", "tk", "kind", "start", "stop", "token", "before")
+def _letters(word: Column) -> Column:
+    """A cleaned word, or null where it has no letter."""
+    return F.when(word.rlike(r"\p{L}"), _clean(word))
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """The patterns of an instance: its left context, and left and right together."""
+    some = F.length(left) > 0
+    return F.array_compact(F.array(F.when(some, F.concat(F.lit("l "), left)), F.when(some & right.isNotNull(), F.concat(F.lit("b "), left, F.lit("|"), right))))
+
+
+def instances(found: DataFrame) -> DataFrame:
+    """(rk, tk, start, stop, value, seed, glued, patterns): all seed spans, and candidates that no seed span overlaps (seed is null)."""
     by = Window.partitionBy("rk", "tk").orderBy("start", "kind")
-    seed = F.when(F.col("kind") < 4, F.struct(F.col("stop").alias("at"), F.col("kind").alias("k")))
-    ahead = F.when(F.col("kind") < 4, F.struct(F.col("start").alias("at"), F.col("kind").alias("k")))
-    met = base.unionByName(cands).withColumns({"p": F.max(seed).over(by.rowsBetween(Window.unboundedPreceding, 0)), "f": F.min(ahead).over(by.rowsBetween(0, Window.unboundedFollowing))})
-    key = F.regexp_extract("token", r"^[^\p{L}]*([\p{L}_]{2,40})[=:]", 1)
+    seed = F.when(F.col("kind") < 4, F.struct(F.col("stop").alias("at")))
+    ahead = F.when(F.col("kind") < 4, F.struct(F.col("start").alias("at")))
+    met = found.withColumns({"p": F.max(seed).over(by.rowsBetween(Window.unboundedPreceding, 0)), "f": F.min(ahead).over(by.rowsBetween(0, Window.unboundedFollowing))})
     label = F.regexp_extract("token", r"^[^0-9@]*[=:]", 0)
-    bare = F.regexp_replace(F.substring(F.col("token"), F.length(label) + 1, F.length("token")), r"[^\p{L}0-9]+$", "")
-    occ = met.where("kind = 4").select(
-        "rk",
-        "tk",
-        F.when(F.col("p.at") > F.col("start"), F.col("p.k")).when(F.col("f.at") < F.col("stop"), F.col("f.k")).alias("seed"),
-        (F.col("start") + F.length(label)).alias("start"),
-        bare.alias("value"),
-        F.array_compact(F.array(F.when(F.length(_clean(F.col("before"))) > 0, F.concat(F.lit("w "), _clean(F.col("before")))), F.when(key != "", F.concat(F.lit("k "), F.lower(key))))).alias("patterns"),
-    )
-    occ = written(occ.withColumn("stop", F.col("start") + F.length("value")).where("length(value) >= 6"), "occurrences")
-    edges = occ.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
+    rest = F.substring(F.col("token"), F.length(label) + 1, F.length("token"))
+    lead = F.regexp_extract(rest, r"^[^\p{L}0-9+@]*", 0)
+    bare = F.regexp_replace(F.substring(rest, F.length(lead) + 1, F.length(rest)), r"(?<![^\p{L}0-9])[^\p{L}0-9]+$", "")
+    own = _clean(F.regexp_replace(label, r"^[^\p{L}]*(?=\p{L})", ""))
+    cands = met.where("kind = 4").where(~F.coalesce(F.col("p.at") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("f.at") < F.col("stop"), F.lit(False)))
+    cands = cands.select("rk", "tk", (F.col("start") + F.length(label) + F.length(lead)).alias("start"), bare.alias("value"), F.lit(None).cast("int").alias("seed"), (F.length(own) > 0).alias("glued"), F.when(F.length(own) > 0, own).otherwise(_clean(F.col("left"))).alias("l"), _letters(F.col("right")).alias("r"))
+    seeds = met.where("kind < 4").select("rk", "tk", "start", F.col("token").alias("value"), F.col("kind").alias("seed"), "glued", _clean(F.col("left")).alias("l"), _letters(F.col("right")).alias("r"))
+    both = seeds.unionByName(cands.where(F.col("value") != "")).withColumn("stop", F.col("start") + F.length("value"))
+    return both.select("rk", "tk", "start", "stop", "value", "seed", "glued", _patterns(F.col("l"), F.col("r")).alias("patterns"))
+
+
+def _totals(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the words of each pattern stand anywhere in the corpus, with whatever word after them (with no
+    identifier-like word, for those of two contexts: such words are instances and are counted there). A bitmap of fixed size drops most others early."""
+    bit = F.pmod(F.xxhash64("pattern"), F.lit(WORD_BITS))
+    held = {r.i: r.b for r in patterns.groupBy(F.floor(bit / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("b")).collect()}  # WORD_BITS / 64 rows at most
+    if not held:
+        return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
+    bitmap = F.expr(f"from_json('[{','.join(str(held.get(i, 0)) for i in range(WORD_BITS // 64))}]', 'array<bigint>')")
+    may = F.call_function("shiftright", F.get(bitmap, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    words = F.split(F.col("text"), r"\s+")
+
+    def each(w, i):
+        before, after = F.get("w", i - 1), F.get("w", i + 2)
+        context = _clean(F.when(w.rlike(r"\p{L}"), w).otherwise(F.concat_ws(" ", before, w)))
+        return F.struct(context.alias("l"), F.when(~F.get("w", i + 1).rlike("[0-9@]"), _letters(after)).alias("r"))
+
+    at = rows.select(words.alias("w")).select(F.explode(F.transform("w", each)).alias("x")).select(F.explode(_patterns(F.col("x.l"), F.col("x.r"))).alias("pattern"))
+    return at.where(may).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+
+
+def bootstrapped(rows: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, score) of the good patterns and (value, kind) of the accepted instances, once a round adds none."""
+    edges = occ.select("value", "seed", "glued", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("glued") | F.startswith("pattern", F.lit("b "))).alias("apart"), F.min("seed").alias("seed"))
     edges = written(edges, "edges")
     # a pattern of fewer instances of any sort can't be good in any round; SUPPORT of accepted ones is asked for in each
-    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SUPPORT).select("pattern")
-    edges = written(edges.join(support, "pattern"), "edges")
-    # how often each such word stands anywhere in the corpus; a bitmap of fixed size drops most others early
-    bit = F.pmod(F.xxhash64("word"), F.lit(WORD_BITS))
-    words = edges.where("pattern like 'w %'").select(F.substring(F.col("pattern"), 3, 1 << 30).alias("word")).distinct()
-    held = {r.i: r.b for r in words.groupBy(F.floor(bit / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("b")).collect()}
-    if held:
-        bitmap = F.expr(f"from_json('[{','.join(str(held.get(i, 0)) for i in range(WORD_BITS // 64))}]', 'array<bigint>')")
-        may = F.call_function("shiftright", F.get(bitmap, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        counted = rows.select(F.explode(_words(F.col("text"))).alias("w")).select(_clean(F.col("w")).alias("word")).where(may)
-        totals = counted.groupBy("word").agg(F.count(F.lit(1)).alias("total")).select(F.concat(F.lit("w "), F.col("word")).alias("pattern"), "total")
-    else:
-        totals = words.select(F.col("word").alias("pattern"), F.lit(0).cast("long").alias("total"))
-    of_keys = edges.where("pattern like 'k %'").groupBy("pattern").agg(F.sum("n").alias("total"))
-    edges = written(edges.join(totals.unionByName(of_keys), "pattern"), "edges")
-    sure = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
-    for _ in range(ROUNDS):
-        scored = edges.join(sure, "value").groupBy("pattern", "kind").agg((F.sum("n") / F.max("total")).alias("score"), F.count(F.lit(1)).alias("k"))
-        good = scored.where((F.col("k") >= SUPPORT) & (F.col("score") >= CONFIDENCE)).groupBy("pattern").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
-        new = edges.where("seed is null").join(good, "pattern").groupBy("value").agg(F.max_by("kind", "score").alias("kind"))
-        sure = written(sure.unionByName(new).groupBy("value").agg(F.min("kind").alias("kind")), "sure")
-    return occ.where("seed is null").join(sure, "value").select("rk", "tk", "kind", "start", "stop")
+    support = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.sum("apart").alias("apart")).where(F.col("k") >= SUPPORT).select("pattern", "apart"), "support")
+    totals = support.join(_totals(rows, support.select("pattern")), "pattern", "left").select("pattern", (F.col("apart") + F.coalesce("total", F.lit(0))).alias("total"))
+    edges = written(edges.drop("apart").join(totals, "pattern"), "edges")
+    sure = written(occ.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind")), "sure")
+    size, good = sure.count(), None
+    while True:
+        met = edges.join(sure, "value", "left").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.count(F.lit(1)).alias("k"))
+        unknown = F.coalesce(F.max(F.when(F.col("kind").isNull(), F.col("n"))).over(Window.partitionBy("pattern")), F.lit(0))  # at most five rows a pattern
+        scored = met.withColumn("score", (F.col("n") + UNKNOWN * unknown) / F.col("total")).where("kind is not null")
+        fine = scored.where((F.col("k") >= SUPPORT) & (F.col("score") >= CONFIDENCE))
+        good = written(fine.groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("pattern", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score")), "good")
+        new = edges.join(good, "pattern").join(sure.select("value"), "value", "left_anti").groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("value", (-F.col("m.k")).cast("int").alias("kind"))
+        sure = written(sure.unionByName(new), "sure")
+        if (more := sure.count()) == size:
+            return good, sure
+        size = more
+
+
+def discovered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(rk, tk, kind, start, stop) of candidates in good patterns, and of all others of the same value where CONFIDENCE of its occurrences are in good ones."""
+    occ = written(instances(found), "instances")
+    good, _ = bootstrapped(rows, occ)
+    left = occ.where("seed is null").select("rk", "tk", "start", "stop", "value", "patterns")
+    best = F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")
+    met = left.withColumn("pattern", F.explode("patterns")).join(good, "pattern").groupBy("rk", "tk", "start", "stop", "value").agg(best).select("rk", "tk", "start", "stop", "value", (-F.col("m.k")).cast("int").alias("kind"), F.lit(True).alias("inside"))
+    met = written(met, "met")
+    of = met.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.mode("kind", deterministic=True).alias("most"))
+    every = left.join(of.select("value"), "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    whole = of.join(every, "value").where(F.col("k") >= CONFIDENCE * F.col("n")).select("value", F.col("most").alias("kind"))
+    rest = left.drop("patterns").join(whole, "value").select("rk", "tk", "start", "stop", "value", "kind", F.lit(False).alias("inside"))
+    both = met.unionByName(rest).groupBy("rk", "tk", "start", "stop").agg(F.max_by("kind", F.struct("inside", (-F.col("kind")).alias("k"))).alias("kind"))
+    return both.select("rk", "tk", "kind", "start", "stop")
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of docs with their names, and (rk, tk, kind, start, stop, base) of all spans; code points, stop exclusive."""
     rows = named(docs)
     found = matches(rows)
-    found = written(found.where((F.col("kind") == 4) | holds(F.col("kind"), F.col("token"))), "matches")
+    found = written(found, "matches")
     base = found.where("kind < 4").select("rk", "tk", "kind", "start", "stop", F.lit(True).alias("base"))
     return rows, base.unionByName(discovered(rows, found).withColumn("base", F.lit(False)))
 
@@ -172,11 +241,12 @@ def masked(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("rk", "tk").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     tag = F.element_at(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), F.col("kind") + 1)
     free = found.withColumn("seen", F.coalesce(F.max("stop").over(by), F.lit(0))).where("stop > seen").withColumn("from", F.greatest("start", "seen"))
-    per = free.groupBy("rk", "tk").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("a"), F.col("seen").alias("p"), F.col("stop").alias("z"), tag.alias("tag")))).alias("_v"))
+    rk, tk, v, a, b = free_names(docs, "_rk", "_tk", "_v", "_a", "_b")
+    per = free.groupBy(F.col("rk").alias(rk), F.col("tk").alias(tk)).agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("a"), F.col("seen").alias("p"), F.col("stop").alias("z"), tag.alias("tag")))).alias(v))
     text = F.col("text")
     part = lambda x: F.concat(F.substring(text, (x["p"] + 1).cast("int"), (x["a"] - x["p"]).cast("int")), x["tag"])
-    last = F.element_at("_v", -1)["z"]
-    done = F.concat(F.array_join(F.transform("_v", part), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
-    keyed = docs.withColumns({"_rk": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "_tk": F.xxhash64(F.lit(17), F.coalesce("text", F.lit("")))})
-    out = keyed.join(per, (keyed["_rk"] == per["rk"]) & (keyed["_tk"] == per["tk"]), "left")
-    return out.select(*[F.when(F.col("_v").isNotNull(), done).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    last = F.element_at(v, -1)["z"]
+    done = F.concat(F.array_join(F.transform(v, part), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
+    keyed = docs.withColumns({a: F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), b: F.xxhash64(F.lit(17), F.coalesce("text", F.lit("")))})
+    out = keyed.join(per, (F.col(a) == F.col(rk)) & (F.col(b) == F.col(tk)), "left")
+    return out.select(*[F.when(F.col(v).isNotNull(), done).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
