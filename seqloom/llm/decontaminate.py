@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_name, with_free_name, written
-from .kernels import PUNCT, U64, Words, chunks, shingles, string_buffers
+from .common import free_names, lean, row_name, with_free_name, written
+from .kernels import chunks, forget_powers, PUNCT, shingles, string_buffers, U64, Words
 
 WINDOW, SHINGLE, INDEX_BYTES = 10, 3, 64 << 20
 
@@ -102,7 +102,7 @@ def _frequencies(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
             nz = np.flatnonzero(s)
             yield pa.RecordBatch.from_pydict({"n": pa.array([n] * len(nz), pa.int32()), "h": pa.array(elements.value[n][nz].view(np.int64), pa.int64()), "c": pa.array(s[nz], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c")).collect()  # a row for each shingle of the index part
+    rows = docs.select("text").mapInArrow(lean(count, forget_powers), "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c")).collect()  # a row for each shingle of the index part
     return {(r.n, r.h & 0xFFFFFFFFFFFFFFFF): r.c for r in rows}
 
 
@@ -143,7 +143,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                     items.append(sorted({i for f in found.get(r, ()) for i in f[2] if i is not None}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "runs", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, runs array<long>, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(scan, forget_powers), "doc_id long, n_words long, runs array<long>, items array<long>")
 
 
 def _united(batch: DataFrame) -> DataFrame:
@@ -202,6 +202,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without any benchmark window."""
-    named = docs.withColumn("_row", row_name())
-    bad = hits(named.select(F.col("_row").alias("doc_id"), "text"), benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return named.join(bad, named["_row"] == bad["_bad"], "left_anti").drop("_row")
+    row, mark = free_names(docs, "_row", "_bad")
+    named = docs.withColumn(row, row_name())
+    bad = hits(named.select(F.col(row).alias("doc_id"), "text"), benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias(mark)).distinct()
+    return named.join(bad, F.col(row) == F.col(mark), "left_anti").drop(row)

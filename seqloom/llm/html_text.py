@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_free_name, written
+from .common import lean, with_free_name, written
 
 #: Part of a host's pages that have a template token, pages that a host needs for a template, and tokens of a valid class.
 SHARE, PAGES, CLASS = 0.6, 5, 2
@@ -173,7 +173,7 @@ def _counts(pages: DataFrame) -> DataFrame:
                     yield send()
         yield send()
 
-    return pages.mapInArrow(run, "host string, token long, tag boolean, pages long, count long, low long, high long")
+    return pages.mapInArrow(lean(run), "host string, token long, tag boolean, pages long, count long, low long, high long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -240,4 +240,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(main_text(page or "", sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "host", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "texts").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -31,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_name, shuffle_partitions, with_free_name, written
+from .common import free_names, lean, row_name, shuffle_partitions, with_free_name, written
 from .components import connected
-from .kernels import SPACES, U64, Words, chunks, mix, shingles, string_buffers
+from .kernels import chunks, forget_powers, mix, shingles, SPACES, string_buffers, U64, Words
 
 SHINGLE, PERCENT = 5, 75
 SLOTS, BLOCK, FILTER_BITS = 1 << 20, 1 << 12, 1 << 25
 #: Sets that one task joins at once; representatives of a component in a cut block; sets outside its largest component up to
 #: which a cut block is joined as a whole, each set being sent at most 2 * OUTSIDE / CHUNK times.
 CHUNK, REPRESENTATIVES, OUTSIDE = 1024, 8, 8192
+#: Rows of sets turned into Python objects at once.
+ROWS = 256
 #: Sets sent in a round, in multiples of those that there are.
 SENT = 4
 #: Prefixes are longer by one in SPARE elements of the set than one shared element needs, so that linked sets share many.
@@ -116,7 +118,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], ["doc_id", "sid", "n", "block"])
         yield _blocks(counts)
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, block binary")
+    return docs.mapInArrow(lean(run, forget_powers), "doc_id long, sid long, n long, block binary")
 
 
 def _summed(rows: DataFrame, size: int, kind: type, add: Callable) -> np.ndarray:
@@ -131,7 +133,7 @@ def _summed(rows: DataFrame, size: int, kind: type, add: Callable) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["n", "block"])
 
     out = np.zeros(size, kind).reshape(-1, BLOCK)
-    for r in rows.select("n", "block").repartition(shuffle_partitions(rows.sparkSession), "n").mapInArrow(run, "n long, block binary").collect():
+    for r in rows.select("n", "block").repartition(shuffle_partitions(rows.sparkSession), "n").mapInArrow(lean(run, forget_powers), "n long, block binary").collect():
         out[r.n] = add(out[r.n], np.frombuffer(r.block, kind))
     return out.reshape(-1)
 
@@ -166,7 +168,7 @@ def _prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 if toks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns))], ["tok", "sid", "n"])
 
-    return docs.mapInArrow(run, "tok long, sid long, n int")
+    return docs.mapInArrow(lean(run, forget_powers), "tok long, sid long, n int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(sid), pa.array(n)], ["tok", "sid", "n"])
 
     p = shuffle_partitions(prefixes.sparkSession)
-    return prefixes.repartition(p, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(run, "tok long, sid long, n int")
+    return prefixes.repartition(p, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(lean(run, forget_powers), "tok long, sid long, n int")
 
 
 def _enough(shared: DataFrame) -> DataFrame:
@@ -227,7 +229,7 @@ def _ties(shared: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     n = shuffle_partitions(shared.sparkSession)
-    return shared.select("tok", "sid", "n").repartition(n, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(run, "a long, b long").distinct()
+    return shared.select("tok", "sid", "n").repartition(n, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(lean(run, forget_powers), "a long, b long").distinct()
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -238,13 +240,14 @@ def _filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size in which every id's bit is set."""
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            bits[_bits(b.column(0).to_numpy(zero_copy_only=False))] = True
-        packed = _blocks(np.packbits(bits))
+            at = _bits(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = _blocks(bits)
         yield pa.RecordBatch.from_arrays([packed.column(2), packed.column(3)], ["n", "block"])
 
-    return _summed(ids.mapInArrow(run, "n long, block binary"), FILTER_BITS // 8, np.uint8, np.bitwise_or)
+    return _summed(ids.mapInArrow(lean(run, forget_powers), "n long, block binary"), FILTER_BITS // 8, np.uint8, np.bitwise_or)
 
 
 def _members(docs: DataFrame, rank: np.ndarray, wanted: DataFrame) -> DataFrame:
@@ -261,7 +264,7 @@ def _members(docs: DataFrame, rank: np.ndarray, wanted: DataFrame) -> DataFrame:
                 rows = [(s, v) for v in sets if len(v) and (s := set_name(v)) not in seen and not seen.add(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([ordered(v, rank).tobytes() for _, v in rows], pa.binary())], ["sid", "elements"])
 
-    return docs.mapInArrow(run, "sid long, elements binary")
+    return docs.mapInArrow(lean(run, forget_powers), "sid long, elements binary")
 
 
 class Node:
@@ -363,7 +366,7 @@ def _join_groups(groups: DataFrame) -> DataFrame:
 
     def run(batches):
         key, rows = None, {}
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             for g, s, v, r, p in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if g != key:
                     yield finish(rows)
@@ -373,7 +376,7 @@ def _join_groups(groups: DataFrame) -> DataFrame:
         yield finish(rows)
 
     n = shuffle_partitions(groups.sparkSession)
-    return groups.select("g", "sid", "elements", "root", "probing").repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return groups.select("g", "sid", "elements", "root", "probing").repartition(n, "g").sortWithinPartitions("g").mapInArrow(lean(run, forget_powers), "a long, b long")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -483,7 +486,7 @@ def _elements(members: DataFrame) -> DataFrame:
             n = np.array([len(v) for v in first], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, U64)]).view(np.int64)), *(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (1, 2)), pa.array(np.repeat(np.array([len(v) for v in sets], np.int32), n))], ["tok", "sid", "root", "n"])
 
-    return members.select("elements", "sid", "root").mapInArrow(run, "tok long, sid long, root long, n int")
+    return members.select("elements", "sid", "root").mapInArrow(lean(run, forget_powers), "tok long, sid long, root long, n int")
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -509,9 +512,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names, rooted = _rooted(docs)
     best = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_id"))
     kept = best.unionByName(names.where("n = 0").select(F.col("row").alias("_id"))).distinct()
-    rows = docs.withColumn("_row", row_name()).join(kept, F.col("_row") == F.col("_id"), "left_semi")
-    twice = written(names.groupBy("row").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("row").alias("_id")), "twice")
+    row, mark = free_names(docs, "_row", "_id")
+    kept = kept.withColumnRenamed("_id", mark)
+    same = F.col(row) == F.col(mark)
+    rows = docs.withColumn(row, row_name()).join(kept, same, "left_semi")
+    twice = written(names.groupBy("row").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("row").alias(mark)), "twice")
     if twice.isEmpty():
-        return rows.drop("_row")
-    same = F.col("_row") == F.col("_id")
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["_row"])).drop("_row")
+        return rows.drop(row)
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates([row])).drop(row)

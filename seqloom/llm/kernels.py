@@ -39,6 +39,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"][:n], _pow["i"][:n]
 
 
+def forget_powers() -> None:
+    """Back to short tables: a long text needs long ones for its own task only."""
+    for k in _pow:
+        _pow[k] = _pow[k][: 1 << 16].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))

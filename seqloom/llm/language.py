@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_free_name
+from .common import lean, with_free_name
 
 U64 = np.uint64
 #: Buckets of the hash, lengths of n-grams, labelled rows of each language to learn from, smoothing.
@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
             nz = np.flatnonzero(s[:BUCKETS])
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(nz), pa.string()), "bucket": pa.array(nz, pa.int32()), "n": pa.array(s[nz], pa.int64())})
 
-    summed = taken.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = taken.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS + 1, len(names)), ALPHA)
     got = summed.toPandas()  # at most BUCKETS rows a language
     table[got.bucket.to_numpy(), got.lang.map({k: i for i, k in enumerate(names)}).to_numpy()] += got.n.to_numpy()
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
             langs, scores = score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def held_out():
@@ -186,4 +186,4 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
             langs, scores = score(b.column(at))
             yield b.filter(pa.array([k != "und" and x >= least for k, x in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

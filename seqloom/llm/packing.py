@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import with_free_name, written
-from .tokens import encoder
+from .common import lean, with_free_name, written
+from .kernels import forget_powers
+from .tokens import encoder, forget_pretokens
 
 LENGTH, WINDOW, QUEUES, END = 1024, 64, 1024, 0
 #: Rows of the table of queue offsets up to which it is broadcast; beyond that it is joined by a shuffle.
@@ -64,7 +65,7 @@ def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
     n_sources = d.select("source").distinct().limit(QUEUES + 1).count()
     name = F.coalesce(F.col("source"), F.lit(""))
     queue = name if n_sources <= QUEUES else F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string")
-    return written(d.select("doc_id", "text", queue.alias("queue")).mapInArrow(run, "doc_id long, queue string, part long, first long, n long, ids binary"), "ids")
+    return written(d.select("doc_id", "text", queue.alias("queue")).mapInArrow(lean(run, lambda: forget_pretokens(path), forget_powers), "doc_id long, queue string, part long, first long, n long, ids binary"), "ids")
 
 
 class Schedule:
@@ -125,7 +126,7 @@ def lay_out(ids: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataF
             cols = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 6)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str = PATH, length: int = LENGTH, window: int = WINDOW) -> DataFrame:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, with_free_name, written
-from .kernels import SPACES, U64, Words, chunks, mix, shingles, string_buffers
+from .common import lean, shuffle_partitions, with_free_name, written
+from .kernels import chunks, forget_powers, mix, shingles, SPACES, string_buffers, U64, Words
 
 WINDOW, PHRASE = 35, 8
 MOST = U64(0xFFFFFFFFFFFFFFFF)
@@ -100,7 +100,7 @@ def _noted(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             key, sure = _sure(h, h ^ mix(np.arange(len(h), dtype=U64) + U64(t1[0] & 0x7FFFFFFF if len(t1) else 0)))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(h), np.int32)), pa.array(sure), pa.array(h.view(np.int64)), pa.array(t1[row]), pa.array(t2[row])], ["key", "check", "sure", "h", "t1", "t2"])
 
-    return docs.where("text is not null").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"), "text").mapInArrow(run, "key long, check int, sure boolean, h long, t1 long, t2 long")
+    return docs.where("text is not null").select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"), "text").mapInArrow(lean(run, forget_powers), "key long, check int, sure boolean, h long, t1 long, t2 long")
 
 
 def _sure(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def _confirmed(rows: DataFrame, columns: str) -> DataFrame:
             yield from last.select(range(3, last.num_columns)).to_batches()
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "check").mapInArrow(run, columns)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "check").mapInArrow(lean(run, forget_powers), columns)
 
 
 def _locate(w: Words, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
             pick = np.concatenate([np.arange(len(w1)), twin])
             yield pa.RecordBatch.from_arrays([pa.array(key[pick].view(np.int64)), pa.array((w2[pick] >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(sure[pick]), pa.array(rk[row[pick]]), pa.array(place[pick].astype(np.int32))], ["key", "check", "sure", "rk", "place"])
 
-    return texts.select("text", "rk", "copied", "hs").mapInArrow(run, "key long, check int, sure boolean, rk long, place int")
+    return texts.select("text", "rk", "copied", "hs").mapInArrow(lean(run, forget_powers), "key long, check int, sure boolean, rk long, place int")
 
 
 def marks(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -239,7 +239,7 @@ def _cut(rows: DataFrame, window: int, schema: str, finish) -> DataFrame:
                     removed.append(k - len(stay))
             yield finish(b, kept, words, removed)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, forget_powers), schema)
 
 
 def digest(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:

@@ -22,8 +22,8 @@ from .kernels import mix, powers
 U64 = np.uint64
 #: Code points below it are classed here.
 FAST_LIMIT = 0x2100
-#: Pretokens remembered; beyond that the memory starts anew.
-REMEMBERED = 2_000_000
+#: Pretokens remembered within a task (24 bytes and their ids each); beyond that the memory starts anew.
+REMEMBERED = 1 << 18
 SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
 LATER = re.compile(f"[{chr(FAST_LIMIT)}-\U0010ffff]")
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
@@ -60,10 +60,14 @@ def merger(path: str):
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: what it remembers serves all its tasks."""
+    """One for each Python worker; what it remembers of texts is dropped with forget_pretokens."""
     return Encoder(path)
 
 
+def forget_pretokens(path: str) -> None:
+    encoder(path)._reset()
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
