@@ -181,8 +181,8 @@ def bootstrapped(rows: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame]
     edges = occ.select("value", "seed", "glued", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("glued") | F.startswith("pattern", F.lit("b "))).alias("apart"), F.min("seed").alias("seed"))
     edges = written(edges, "edges")
     # a pattern of fewer instances of any sort can't be good in any round; SUPPORT of accepted ones is asked for in each
-    support = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.sum("apart").alias("apart")).where(F.col("k") >= SUPPORT).select("pattern", "apart"), "support")
-    totals = support.join(_totals(rows, support.select("pattern")), "pattern", "left").select("pattern", (F.col("apart") + F.coalesce("total", F.lit(0))).alias("total"))
+    support = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.sum("apart").alias("apart"), F.sum("n").alias("n")).where(F.col("k") >= SUPPORT).select("pattern", "apart", "n"), "support")
+    totals = support.join(_totals(rows, support.select("pattern")), "pattern", "left").select("pattern", F.greatest(F.col("apart") + F.coalesce("total", F.lit(0)), "n").alias("total"))  # a context may be no word of the text by itself
     edges = written(edges.drop("apart").join(totals, "pattern"), "edges")
     sure = written(occ.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind")), "sure")
     size, good = sure.count(), None

@@ -85,7 +85,7 @@ def brute(texts):
             for k in range(4):
                 of = [v for v in vs if sure.get(v) == k]
                 unknown = sum(n for v, n in vs.items() if v not in sure)
-                score = (sum(vs[v] for v in of) + pii.UNKNOWN * unknown) / (words[p] + apart[p]) if of else 0
+                score = (sum(vs[v] for v in of) + pii.UNKNOWN * unknown) / max(words[p] + apart[p], vs.total()) if of else 0
                 if len(of) >= pii.SUPPORT and score >= pii.CONFIDENCE:
                     good[p] = max(good.get(p, (0, -9)), (score, -k))
         new = defaultdict(lambda: (0, -9))
