@@ -30,34 +30,23 @@ def a_statistic(length: Column, cov: Column, mean: Column, read: int = READ_LENG
     return (length * mean / read - math.log(2) * cov * length / read) * math.log10(math.e)
 
 
-def useful_margin(rs: Column, re: Column, rl: Column, ts: Column, te: Column, tl: Column, q: Column, min_q: int = 10) -> Column:
-    """Whether a hit reaches an end of the read or the contig on both sides, close to a contig end, with enough quality."""
-    tol = lambda n: F.least(F.lit(A_TOL), F.floor(R_TOL * n))
+def useful_margin(rs: Column, re: Column, rl: Column, ts: Column, te: Column, tl: Column, q: Column, prime: Column | None = None, min_q: int = 10) -> Column:
+    """Whether a hit reaches an end of the read or the contig on both sides, close to a contig end, and is primary and of enough quality.
+
+    One tolerance holds for all four distances: A_TOL or a quarter of the contig's length, whichever is less, in whole bases.
+    """
+    tol = F.least(F.lit(A_TOL), F.floor(R_TOL * tl))
     low, high = F.least(rs, re), F.greatest(rs, re)
-    read_left, read_right = F.when(rs <= re, low).otherwise(rl - high), F.when(rs <= re, rl - high).otherwise(low)
-    t_left, t_right = ts, tl - te
-    good = ((read_left < tol(rl)) | (t_left < tol(tl))) & ((read_right < tol(rl)) | (t_right < tol(tl))) & (F.least(t_left, t_right) < tol(tl))
-    return good & (q >= min_q)
+    read_left, read_right = F.when(rs <= re, low - 1).otherwise(rl - high), F.when(rs <= re, rl - high).otherwise(low - 1)
+    t_left, t_right = ts - 1, tl - te
+    good = ((read_left < tol) | (t_left < tol)) & ((read_right < tol) | (t_right < tol)) & (F.least(t_left, t_right) < tol)
+    return good & (F.lit(True) if prime is None else prime) & (q >= min_q)
 
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
-def cigar_sum(cigar: Column, ops: str) -> Column:
-    """Bases of the operations named in ops."""
-    runs = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{ops}]"), F.lit(1))
-    return F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-
-
-def cigar_span(cigar: Column, forward: Column) -> Column:
-    """start, end and length of the read of an alignment, 1-based; swapped and counted from the far end on the other strand."""
-    head = F.coalesce(F.try_to_number(F.regexp_extract(cigar, r"^([0-9]+)[HS]", 1), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
-    used, total = cigar_sum(cigar, "IM=X"), cigar_sum(cigar, "HSPIM=X")
-    start, end = head + 1, head + used
-    return F.struct(F.when(forward, start).otherwise(total - start + 1).alias("start"), F.when(forward, end).otherwise(total - end + 1).alias("end"), total.alias("length"))
-
-
 def reverse_vector(m: Column, d: Column) -> tuple[Column, Column]:
     return F.when(d > 0, -m).otherwise(m), d
 

@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.columns import KMER, poisson_distance
+from seqloom.operators.settle import settled
+
+
+def descending_sums(sums: DataFrame) -> DataFrame:
+    """Rows (len, s), one a length, with cum, the sum of s down to each length. Lengths are dealt out in ranges and only the ranges' totals are put in order, so no task sees all."""
+    n = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(sums.repartitionByRange(n, F.desc("len")).withColumn("run", F.spark_partition_id()))
+    totals = dealt.groupBy("run").agg(F.sum("s").alias("t"))  # a row a partition
+    before = totals.select("run", (F.sum("t").over(Window.orderBy("run")) - F.col("t")).alias("before"))
+    inside = F.sum("s").over(Window.partitionBy("run").orderBy(F.desc("len")))
+    return dealt.join(F.broadcast(before), "run").select("len", "s", (F.col("before") + inside).alias("cum"))
 
 
 def nxx(lengths: DataFrame, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """For each share the smallest length in the descending prefix that reaches it. Equal lengths are summed first, so the ordered pass sees one row a length."""
     by = by or []
     sums = lengths.groupBy(*by, "len").agg(F.sum("len").alias("s"))
-    run = sums.withColumn("cum", F.sum("s").over(Window.partitionBy(*by).orderBy(F.desc("len")))).withColumn("total", F.sum("s").over(Window.partitionBy(*by)))
+    if by:
+        run = sums.withColumn("cum", F.sum("s").over(Window.partitionBy(*by).orderBy(F.desc("len")))).withColumn("total", F.sum("s").over(Window.partitionBy(*by)))
+    else:
+        run = descending_sums(sums)
+        run = run.join(F.broadcast(run.agg(F.sum("s").alias("total"))))
     return run.groupBy(*by).agg(*[F.max(F.when(F.col("cum") >= x * F.col("total"), F.col("len"))).alias(name) for name, x in shares.items()])
 
 
@@ -92,7 +107,7 @@ def base_confusion(mine: DataFrame, model: DataFrame, key: str) -> DataFrame:
 
 def ng50(lengths: DataFrame, genome: int) -> DataFrame:
     """As N50, against half of a given genome size in whole bases; null where the contigs don't reach it."""
-    run = lengths.groupBy("len").agg(F.sum("len").alias("s")).withColumn("cum", F.sum("s").over(Window.orderBy(F.desc("len"))))
+    run = descending_sums(lengths.groupBy("len").agg(F.sum("len").alias("s")))
     return run.agg(F.max(F.when(F.col("cum") >= genome // 2, F.col("len"))).alias("ng50"))
 
 
@@ -152,9 +167,10 @@ def reciprocal_links(links: DataFrame) -> DataFrame:
 
 
 def column_consensus(rows: DataFrame, key: str, text: str, letters: str = "ACGTN-") -> DataFrame:
-    """The most frequent letter of each column of a key's aligned texts, the first in letters among equals; gap columns are dropped."""
-    at = rows.select(key, F.posexplode(F.split(text, "")).alias("pos", "letter")).where(F.instr(F.lit(letters), F.col("letter")) > 0)
-    votes = at.groupBy(key, "pos", F.instr(F.lit(letters), F.col("letter")).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    """The most frequent letter of each column of a key's aligned texts, the first in letters among equals; any other letter counts as N; gap columns are dropped."""
+    at = rows.select(key, F.posexplode(F.split(text, "")).alias("pos", "letter")).where("letter <> ''")
+    place = F.instr(F.lit(letters), F.col("letter"))
+    votes = at.groupBy(key, "pos", F.when(place > 0, place).otherwise(letters.index("N") + 1).alias("i")).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy(key, "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "i"))["i"].alias("i"))
     kept = F.array_sort(F.collect_list(F.when(F.col("i") < len(letters), F.struct("pos", F.substring(F.lit(letters), F.col("i"), F.lit(1)).alias("c")))))
     return best.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("consensus"))
