@@ -184,7 +184,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A whole file as one read named READ."""
-    return spark.read.option("wholetext", True).text(path).select(F.lit("READ").alias("name"), F.upper(F.regexp_replace("value", r"\s", "")).alias("seq"))
+    return spark.read.text(path, wholetext=True).select(F.lit("READ").alias("name"), F.upper(F.regexp_replace("value", r"\s", "")).alias("seq"))
 
 
 def sniff(path: str) -> str:
