@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record's layout is known by a hash of its nested field paths. LAYOUTS maps field paths to the way their turns are read:
-tables of one row a turn by the paths of the table's schema, JSON records by the paths of each record (schema_of_variant).
-All become turns (role, text), and a template marks them:
+A record's layout is known by fingerprints: hashes of its nested field paths. LAYOUTS maps paths to the way their turns are read;
+of a record's paths those that a layout knows are hashed, in order, and where that is the layout's own fingerprint the record is read
+by it, the layout of most paths first. Other fields are let be. Tables of one row a turn are known in the same way by the
+paths of their schema. All become turns (role, text), and a template marks them:
 
     <|turn|>ROLE\\nTEXT<|end|>\\n
 
@@ -12,7 +13,8 @@ covers the texts of assistant turns.
 
 Defined cases: a null text or role is empty; a null conv_id is one conversation; turns are ordered by turn (null first),
 then role, then text, and repeated rows are turns each; an empty table leaves only what is added; other columns are not read.
-A JSON record of unknown layout, or one that does not parse, has a null fingerprint or no turns, and is not dropped.
+A JSON record of unknown layout, or one that does not parse, has no turns and a null layout; its text is kept as it is in the column unread.
+A field that is there counts, also where its value is null; a list counts by the fields of any of its items.
 A conversation is one output row, so its turns meet in one task: its size is bounded by the longest string Spark can hold.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +77,7 @@ def paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-#: Layouts of JSON records: field names of the record (sorted), field names inside its list, and the list's own name, role and text fields.
+#: Names of roles that are told in other words.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -104,59 +107,80 @@ LAYOUTS: dict[tuple[str, ...], list[tuple[str, ...]]] = {
     ("conversations[].from", "conversations[].value"): [("list", "conversations", "from", "value")],
     ("turns[].role", "turns[].text"): [("list", "turns", "role", "text")],
 }
-TABLE_LAYOUTS = {("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text")}
+#: Columns of tables of one row a turn: conversation, order, role and text.
+TABLE_LAYOUTS = [("conv_id", "turn", "role", "text"), ("conversation_id", "position", "role", "content"), ("dialog_id", "turn_id", "speaker", "utterance")]
+
+
+def fingerprint(names: Column) -> Column:
+    """Of an array of paths: the hash of all of them in order."""
+    return F.xxhash64(F.array_join(F.array_sort(names), "\n"))
 
 
 def json_paths(record: Column) -> Column:
-    """The schema of a parsed record with its types taken out: what is left are names and nesting."""
-    return F.regexp_replace(F.schema_of_variant(record), r"(?<=: |ARRAY<)(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\([0-9]+,[0-9]+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY)", "")
+    """The nested paths of a parsed record, of all that some layout knows."""
+    there = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
 
+    def one(path: str) -> Column:
+        top, _, inner = path.partition("[].")
+        if not inner:
+            return F.when(there(record, top), path)
+        return F.when(F.exists(F.try_variant_get(record, f"$.{top}", "array<variant>"), lambda x: there(x, inner)), path)
 
-def _as_json_paths(layout: tuple[str, ...]) -> str:
-    tops: dict[str, list[str]] = {}
-    for p in layout:
-        top, _, inner = p.partition("[].")
-        tops.setdefault(top, []).extend([inner] if inner else [])
-    fields = [f"{t}: " + (f"ARRAY<OBJECT<{', '.join(f'{i}: ' for i in sorted(inner))}>>" if inner else "") for t, inner in sorted(tops.items())]
-    return f"OBJECT<{', '.join(fields)}>"
+    return F.array_compact(F.array(*[one(p) for p in sorted({p for layout in LAYOUTS for p in layout})]))
 
 
-def fingerprint(names: Column) -> Column:
-    return F.xxhash64(names)
+def layout_of(payload: Column) -> Column:
+    """The paths of the layout of a JSON record, joined by commas; null where none fits."""
+    paths_here = json_paths(F.try_parse_json(payload))
+    own = lambda layout: F.filter(paths_here, lambda p: p.isin(list(layout)))
+    fits = [F.when(fingerprint(own(layout)) == fingerprint(F.array(*[F.lit(p) for p in layout])), ",".join(layout)) for layout in sorted(LAYOUTS, key=lambda v: -len(v))]
+    return F.coalesce(*fits)
 
 
-def turns_of_json(payload: Column) -> Column:
-    """Canonical turns of a JSON record by its layout; an empty array where the layout is unknown."""
+def _read(payload: Column, parts: list[tuple[str, ...]]) -> Column:
     v = F.try_parse_json(payload)
-    seen = fingerprint(json_paths(v))
-    out = F.array().cast(TURNS)
-    for layout, parts in LAYOUTS.items():
-        got = []
-        for kind, *how in parts:
-            if kind == "one":
-                got.append(F.array(_const(*how)(v)))
-            elif kind == "both":
-                role, a, b = how
-                x, y = (F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in (a, b))
-                got.append(F.array(F.struct(F.lit(role).alias("role"), F.when(y == "", x).otherwise(F.concat(x, F.lit("\n\n"), y)).alias("text"))))
-            else:
-                got.append(_list(*how)(v))
-        out = F.when(seen == fingerprint(F.lit(_as_json_paths(layout))), F.concat(*got).cast(TURNS)).otherwise(out)
-    return out
+    got = []
+    for kind, *how in parts:
+        if kind == "one":
+            got.append(F.array(_const(*how)(v)))
+        elif kind == "both":
+            role, a, b = how
+            x, y = (F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in (a, b))
+            got.append(F.array(F.struct(F.lit(role).alias("role"), F.when(y == "", x).otherwise(F.concat(x, F.lit("\n\n"), y)).alias("text"))))
+        else:
+            got.append(_list(*how)(v))
+    return F.concat(*got).cast(TURNS)
+
+
+def turns_of_json(payload: Column, layout: Column | None = None) -> Column:
+    """Canonical turns of a JSON record by its layout; an empty array where the layout is unknown."""
+    here = layout_of(payload) if layout is None else layout
+    known = [F.when(here == ",".join(paths_), _read(payload, parts)) for paths_, parts in LAYOUTS.items()]
+    return F.coalesce(*known, F.array().cast(TURNS))
+
+
+def table_layout(schema: T.StructType) -> tuple[str, str, str, str]:
+    """Columns of conversation, order, role and text of a table, by the fingerprint of its paths that a layout knows."""
+    digest_ = lambda names: xxhash.xxh64_intdigest("\n".join(sorted(names)))
+    here = set(paths(schema))
+    for layout in TABLE_LAYOUTS:
+        if digest_(here & set(layout)) == digest_(layout):
+            return layout
+    raise ValueError(f"no known layout of turns among {sorted(here)}")
 
 
 def turns_of_table(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table whose schema has a known layout of one row a turn; more columns are let be."""
-    here = set(paths(rows.schema))
-    conv, turn, role, text = next(m for p, m in TABLE_LAYOUTS.items() if set(p) <= here)
+    conv, turn, role, text = table_layout(rows.schema)
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     per = with_free_name(rows, conv, turn, role, text).groupBy(conv).agg(F.array_sort(F.collect_list(one)).alias("v"))
     return per.select(F.col(conv).alias("conv_id"), F.transform("v", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def turns_of_records(records: DataFrame) -> DataFrame:
-    """(conv_id, turns) of records (conv_id, payload) of JSON text in any known layout."""
-    return records.select("conv_id", turns_of_json(F.col("payload")).alias("turns"))
+    """(conv_id, turns, layout, unread) of records (conv_id, payload) of JSON text; unread is the payload where no layout is known."""
+    found = with_free_name(records, "conv_id", "payload").withColumn("layout", layout_of(F.col("payload")))
+    return found.select("conv_id", turns_of_json(F.col("payload"), F.col("layout")).alias("turns"), "layout", F.when(F.col("layout").isNull(), F.col("payload")).alias("unread"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -180,7 +204,7 @@ def render(turns: DataFrame) -> DataFrame:
 def digest(conversations: DataFrame) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     added = conversations.sparkSession.sql(f"""select -7L as conv_id, to_json(named_struct('messages', array(named_struct('role', 'user', 'content', '{control}'), named_struct('role', 'assistant', 'content', '{control}')))) as payload""")
-    done = render(turns_of_table(conversations).unionByName(turns_of_records(added)))
+    done = render(turns_of_table(conversations).unionByName(turns_of_records(added).select("conv_id", "turns")))
     back = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), F.transform("spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))).alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
