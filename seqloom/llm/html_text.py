@@ -79,10 +79,10 @@ def _attributes(tag: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("name", "chain", "token", "dropped", "article", "inside", "linked", "at", "plain", "link")
+    __slots__ = ("name", "chain", "token", "parent", "dropped", "article", "inside", "linked", "at", "plain", "link")
 
     def __init__(self, name: str, tag: str, parent: Element | None):
-        self.name = name
+        self.name, self.parent = name, parent
         own = _attributes(tag) if "=" in tag else {}
         words = {w.lower() for a in ("class", "id") for w in _WORD.findall(own.get(a, ""))}
         base = parent.chain if parent is not None else "-"
@@ -95,13 +95,13 @@ class Element:
         marked = name not in ("html", "body") and (bool(marks & COMMENTS or marks and not words & ARTICLE_WORDS and not says) or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden") == "true")
         self.dropped = bool(parent is not None and parent.dropped) or name in DROPPED or marked or (name == "header" and not within)
         self.article = within or (not self.dropped and (says or own.get("role", "").lower() in ("main", "article")))
-        self.inside = parent is not None and parent.inside
+        self.inside = False
         self.linked = name == "a" or (parent is not None and parent.linked)
         self.at, self.plain, self.link = -1, 0, 0
 
 
 def tokens(page: str):
-    """(kind, text, stack) in page order: kind "open" and "close" for tags, "text" for text nodes; what is inside raw elements is left out."""
+    """(kind, text, element) in page order: kind "open" and "close" for tags, "text" for text nodes in their element; what is inside raw elements is left out."""
     stack: list[Element] = []
     opened: Counter[str] = Counter()
     at, n = 0, len(page)
@@ -115,11 +115,11 @@ def tokens(page: str):
         part = m[0]
         at = m.end()
         if part[0] != "<" or part == "<":
-            yield "text", part, stack
+            yield "text", part, stack[-1] if stack else None
             continue
         if part[1] in "!?":
             if part.startswith("<![CDATA["):
-                yield "text", part[9:].removesuffix("]]>"), stack
+                yield "text", part[9:].removesuffix("]]>"), stack[-1] if stack else None
             continue
         name = _NAME.match(part)[1].lower()
         if part[1] == "/":
@@ -133,34 +133,34 @@ def tokens(page: str):
                         break
             if depth >= 0:
                 while len(stack) > depth:
-                    yield "close", stack[-1].name, stack
+                    yield "close", stack[-1].name, stack[-1]
                     leave()
             elif name in BLOCKS:
-                yield "stray", name, stack
+                yield "stray", name, None
             continue
         ends = {"p", *CLOSES.get(name, ())} if name in BLOCKS else CLOSES.get(name, ())
         if any(opened[e] > 0 for e in ends):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name in ends:
                     while len(stack) > i:
-                        yield "close", stack[-1].name, stack
+                        yield "close", stack[-1].name, stack[-1]
                         leave()
                     break
                 if stack[i].name in SCOPES:
                     break
         stack.append(Element(name, part, stack[-1] if stack else None))
         opened[name] += 1
-        yield "open", name, stack
+        yield "open", name, stack[-1]
         if name in VOID or part.endswith("/>") and name not in BLOCKS:
-            yield "close", name, stack
+            yield "close", name, stack[-1]
             leave()
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
-            yield "close", name, stack
+            yield "close", name, stack[-1]
             leave()
     while stack:
-        yield "close", stack[-1].name, stack
+        yield "close", stack[-1].name, stack[-1]
         leave()
 
 
@@ -175,12 +175,12 @@ def _text_token(what: str) -> int | None:
     return _hash("text", t) if t else None
 
 
-def page_tokens(page: str) -> list[tuple[int, bool]]:
-    """Hashed tokens of a page in order, and whether each is a tag."""
+def page_tokens(events) -> list[tuple[int, bool]]:
+    """Hashed tokens of a page (its text, or its events) in order, and whether each is a tag."""
     out = []
-    for kind, what, stack in tokens(page):
+    for kind, what, top in tokens(events) if isinstance(events, str) else events:
         if kind == "open":
-            out.append((stack[-1].token, True))
+            out.append((top.token, True))
         elif kind == "text" and (h := _text_token(what)) is not None:
             out.append((h, False))
     return out
@@ -279,10 +279,10 @@ class Template:
 
 def slot_sums(page: str, template: Template) -> list[tuple[int, int, int, int]]:
     """(place, plain, link, up) of each template element of a page: letters of its own text outside and inside links, and the template element around it short of body (-1: none)."""
-    frame = template.frame(page_tokens(page))
+    events = list(tokens(page))  # parsed once: for the frame, and then for the sums
+    frame = template.frame(page_tokens(events))
     out = []
-    for kind, what, stack in tokens(page):
-        top = stack[-1] if stack else None
+    for kind, what, top in events:
         if kind == "open":
             top.at = frame.get(top.token, -1)
         elif kind == "text" and top is not None and not top.dropped:
@@ -294,7 +294,7 @@ def slot_sums(page: str, template: Template) -> list[tuple[int, int, int, int]]:
                 else:
                     top.plain += n
         elif kind == "close":
-            around = stack[-2] if len(stack) > 1 else None
+            around = top.parent
             if around is not None:
                 around.plain += top.plain
                 around.link += top.link
@@ -320,12 +320,12 @@ def article_of(sums: list[tuple[int, int, int, int]]) -> int | None:
 
 def main_text(page: str, template: Template | None = None) -> str:
     """The article of a page, a line for each block; by the template where there is one, by names without."""
-    frame = template.frame(page_tokens(page)) if template is not None else {}
+    events = tokens(page) if template is None else list(tokens(page))
+    frame = template.frame(page_tokens(events)) if template is not None else {}
     framed = template is not None and (template.article is None or template.article in frame.values())
     blocks: list[list] = []  # in an article by name, inside the template's, parts, whether any text is not the template's
     open_block = False
-    for kind, what, stack in tokens(page):
-        top = stack[-1] if stack else None
+    for kind, what, top in events:
         if kind == "text":
             if top is not None and top.dropped and not (framed and template.article is None):
                 continue
@@ -336,8 +336,8 @@ def main_text(page: str, template: Template | None = None) -> str:
             if not blocks[-1][3] and (h := _text_token(what)) is not None:
                 blocks[-1][3] = h not in frame
         elif kind == "open":
-            if framed and template.article is not None and (frame.get(top.token) == template.article or what == "h1"):
-                top.inside = True
+            if framed and template.article is not None:
+                top.inside = (top.parent is not None and top.parent.inside) or what == "h1" or frame.get(top.token) == template.article
             if what in BLOCKS:
                 open_block = False
             elif what == "br" and open_block:
