@@ -1,6 +1,10 @@
 """Corpus pipeline over documents: language, near duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+
+Defined cases: documents with a null text or without a letter go at the first stage; rows of null or repeated doc_id are told apart by
+their texts, and of equal rows one stays; a null source is the queue ""; columns of other names are carried along up to packing; an
+empty table, or an empty benchmark, gives what is left: no pieces, or all documents.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", keep_language), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("personal data", mask_personal_data), ("packing", pack)]
 
-#: The stages learn a model, find components and tokenize: SQL can't state their rows. Tests compare each stage's operator with brute force, not yet the pipeline as a whole.
+#: The stages learn a model, find components and tokenize: SQL can't state their rows. Tests compare the pipeline with its rules in plain Python.
 ORACLE_SQL = None
 
 

@@ -14,7 +14,7 @@ def settled(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir is not set: iterations need a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         sc.setCheckpointDir(base)
