@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, jaccard, language, packing, pii, repeats, shards, simhash
+from . import chat, decontaminate, html_text, jaccard, language, oracles, packing, pii, repeats, shards, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +29,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries whose rows SQL can state; the others are tested against brute force."""
-    return {}
+    return {
+        "op4_chat_format": oracles.CHAT,
+        "op5_decontaminate": oracles.CONTAMINATION,
+        "op7_repeated_spans": oracles.REPEATS,
+        "op10_jaccard_join": oracles.NEAR_COPIES,
+    }
