@@ -15,7 +15,7 @@ def test_same_rows_as_sql(spark, name):
     if name not in catalog.oracle_sql():
         assert catalog.queries()[name](spark, SF).count() > 0
         return
-    for t in ("part", "lineitem", "events", "documents", "embeddings", "supplier"):
+    for t in ("part", "lineitem", "events", "documents", "embeddings", "supplier", "orders"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(catalog.oracle_sql()[name])
     cols = [c[0] for c in cur.description]

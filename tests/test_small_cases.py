@@ -184,3 +184,33 @@ def test_files(spark, tmp_path):
     nodes, edges, paths = formats.parse_gfa(text)
     assert paths.first().name == "p" and nodes.first().cov == 2.0 and formats.overlap_of(edges) == 29
     assert math.isclose(formats.contig_coverage(spark.createDataFrame([("NODE_1_cov_3.5_x", "", "A")], "name string, desc string, seq string")).first().cov, 3.5)
+
+
+def test_all_paths_and_chains(spark):
+    from seqloom.operators import paths
+
+    nodes = spark.createDataFrame([(i, 1000, i == 4) for i in range(1, 7)], "node_id long, len long, far boolean")
+    # 1 -> 2 -> 5, 1 -> 3 -> 5, 1 -> 4 -> 5 (4 is an anchor), 5 -> 6
+    edges = spark.createDataFrame([(1, True, 2, False), (1, True, 3, False), (1, True, 4, False), (2, True, 5, False), (3, True, 5, False), (4, True, 5, False), (5, True, 6, False)], "n0 long, d0 boolean, n1 long, d1 boolean")
+    asked = spark.createDataFrame([("a", 1, True, 5, False, 746), ("b", 1, True, 6, False, 1619), ("c", 1, False, 5, False, 746), ("d", 1, True, 5, False, 3000)], "req string, src long, src_dir boolean, dst long, dst_dir boolean, distance long")
+    got = sorted(tuple(r) for r in paths.all_paths(asked, edges, nodes, nodes["far"]).collect())
+    assert got == [("a", "2i,5i", 0), ("a", "3i,5i", 0), ("b", "2i,5i,6i", 0), ("b", "3i,5i,6i", 0)]
+    assert paths.all_paths(asked.limit(0), edges, nodes, nodes["far"]).count() == 0
+    ring = spark.createDataFrame([(1, True, 2, False), (2, True, 3, True), (1, False, 3, False), (4, False, 5, True)], "n0 long, d0 boolean, n1 long, d1 boolean")
+    order = sorted(tuple(r) for r in paths.ordered_chains(nodes, ring).collect())
+    assert order == [(1, 1, True, 0, True), (1, 2, True, 1, True), (1, 3, False, 2, True), (4, 4, False, 0, False), (4, 5, False, 1, False), (6, 6, True, 0, False)]
+
+
+def test_distributions(spark):
+    import math
+
+    from seqloom.functions import probability as D
+
+    f = F.col
+    rows = spark.createDataFrame([(0, 0, 0.2), (0, 9, 0.2), (9, 9, 0.2), (3, 9, 0.2), (40, 400, 0.1), (123, 400, 0.9)], "x long, n long, p double")
+    for r in rows.select("*", D.log_binomial(f("x"), f("n"), f("p")).alias("got")).collect():
+        assert math.isclose(r.got, math.log(math.comb(r.n, r.x) * r.p**r.x * (1 - r.p) ** (r.n - r.x)), rel_tol=1e-9, abs_tol=1e-12)
+    one = spark.range(3).select(D.weighted_choice(F.lit(0.99), F.array(F.lit(0.1))).alias("c"), D.random_sequence(1, f("id"), F.lit(0)).alias("s"), D.beta_ratio(F.lit(0), F.lit(4), F.lit(1), F.lit(2)).alias("b")).first()
+    assert (one.c, one.s, one.b.mean, one.b.sd) == (0, "", None, None)
+    u = spark.range(20000).agg(F.avg(D.uniform(1, f("id"))).alias("m"), F.count_distinct(D.uniform(1, f("id"))).alias("n")).first()
+    assert abs(u.m - 0.5) < 0.01 and u.n > 19_990
