@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import cigar
 from seqloom.functions import columns as C
 from seqloom.operators import relational as R
-from seqloom.plans import format_queries, graph_queries, hit_queries, path_queries, scalar_queries
+from seqloom.plans import binning_queries, format_queries, graph_queries, hit_queries, path_queries, scalar_queries
 
 FLAGSHIP = "assembly_report"
 
@@ -91,7 +91,7 @@ def _every_link(s, d):
 
 
 def _planned() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return scalar_queries.QUERIES | hit_queries.QUERIES | graph_queries.QUERIES | format_queries.QUERIES | path_queries.QUERIES
+    return scalar_queries.QUERIES | hit_queries.QUERIES | graph_queries.QUERIES | format_queries.QUERIES | path_queries.QUERIES | binning_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,3 +65,20 @@ def gene_list(spark, first: int, last: int, seed: int, drawn: bool = False, long
     gene = first + F.floor(uniform(seed, F.lit("gene"), i) * (last - first)) if drawn else i
     size = F.floor(uniform(seed, F.lit("length"), i) * longest)
     return spark.range(first, last).select(i.alias("i"), F.concat(F.lit("gene"), gene.cast("string"), F.lit("\t0\t"), size.cast("string")).alias("line"))
+
+
+def replicon_report(contigs: DataFrame, features: DataFrame, bases: int) -> DataFrame:
+    """(contig, text) for each contig with a replicon: its scaffold's contigs, the bases read in millions, and the scaffold's replicons, genes and resistance genes.
+
+    contigs (contig, scaffold, pos), features (contig, at, sort: replicon, gene or resistance, text). A scaffold's features
+    meet in one row, as the report is one text.
+    """
+    members = contigs.groupBy("scaffold").agg(F.array_sort(F.collect_list(F.struct("pos", "contig"))).alias("m"))
+    one = F.struct("pos", "at", "text")
+    of = features.join(contigs, "contig")
+    lists = of.groupBy("scaffold").agg(*[F.array_sort(F.collect_list(F.when(F.col("sort") == k, one))).alias(k) for k in ("replicon", "gene", "resistance")])
+    named = of.where("sort = 'replicon'").select("contig", "scaffold").distinct()
+    texts = lambda name, before: F.array_join(F.transform(name, lambda x: F.concat(F.lit(before), x["text"])), "")
+    head = F.concat(F.lit(">"), F.array_join(F.transform("m", lambda x: F.concat(x["contig"].cast("string"), F.lit("\t"))), ""), F.lit(f"\n>{bases // 1_000_000:.2f}Mpb\t"))
+    body = F.concat(F.size("gene").cast("string"), F.lit(" genes\t"), texts("replicon", "+"), texts("gene", " \n\t"), F.lit("\n"), texts("resistance", " \n\t"), F.lit("\n"))
+    return named.join(lists, "scaffold").join(members, "scaffold").select("contig", F.concat(head, body).alias("text"))

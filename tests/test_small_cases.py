@@ -214,3 +214,20 @@ def test_distributions(spark):
     assert (one.c, one.s, one.b.mean, one.b.sd) == (0, "", None, None)
     u = spark.range(20000).agg(F.avg(D.uniform(1, f("id"))).alias("m"), F.count_distinct(D.uniform(1, f("id"))).alias("n")).first()
     assert abs(u.m - 0.5) < 0.01 and u.n > 19_990
+
+
+def test_unique_path_takes_copies_and_edges(spark):
+    from seqloom.operators import binning
+
+    counts = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 0, 1)], "item long, bin long, n long")
+    visits = spark.createDataFrame([(1, 1, 1, 0, 1), (1, 2, 1, 0, 1), (1, 2, 5, 0, 1), (2, 1, 2, 0, 0), (2, 2, 2, 0, 1), (3, 1, 3, 0, 1)], "item long, path long, pos long, bin long, other long")
+    assert binning.copies_left(counts, visits).collect() == []
+    assert sorted(tuple(r) for r in binning.copies_left(counts, visits.where("path = 1")).collect()) == [(1, 1, 2)]
+    assert sorted(tuple(r) for r in binning.copies_left(counts, visits.limit(0)).collect()) == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
+    edges = spark.createDataFrame([(1, True, 2, False), (1, True, 3, False), (2, True, 3, True), (1, False, 4, True)], "n0 long, d0 boolean, n1 long, d1 boolean")
+    steps = spark.createDataFrame([("p", 0, 1, True), ("p", 1, 2, True), ("p", 2, 3, False)], "path string, pos long, node long, forward boolean")
+    got = sorted(tuple(r) for r in binning.spent_edges(steps, edges, F.col("node") == 1).collect())
+    assert got == [(1, True, 2, False), (1, True, 3, False)]
+    close = F.col("bin") != 9
+    paths = spark.createDataFrame([(1, 1, 2), (None, 1, 1), (2, 1, 2), (9, 9, 9), (1, None, 1)], "bin long, start_bin long, end_bin long")
+    assert sorted(tuple(r) for r in binning.accepted_paths(paths, close).collect()) == [(1, 1, 2, 2), (2, 1, 2, 1)]
