@@ -231,3 +231,24 @@ def test_unique_path_takes_copies_and_edges(spark):
     close = F.col("bin") != 9
     paths = spark.createDataFrame([(1, 1, 2), (None, 1, 1), (2, 1, 2), (9, 9, 9), (1, None, 1)], "bin long, start_bin long, end_bin long")
     assert sorted(tuple(r) for r in binning.accepted_paths(paths, close).collect()) == [(1, 1, 2, 2), (2, 1, 2, 1)]
+
+
+def test_reports(spark):
+    from seqloom.operators import reports
+
+    seg = spark.createDataFrame([(5, "b"), (2, "a9"), (7, "b")], "at long, name string")
+    links = spark.createDataFrame([("b", "a9"), ("a9", "zz")], "a string, b string")
+    paths = spark.createDataFrame([("p", "b+,zz-,a9-")], "path string, steps string")
+    bins = spark.createDataFrame([(1, "b", 8), (2, "a9", 3), (3, "b", -1)], "at long, name string, bin long")
+    _, new_links, new_paths, new_bins = reports.reindexed(seg, links, paths, bins)
+    assert sorted(tuple(r) for r in new_links.collect()) == [("1", ""), ("2", "1")]
+    assert new_paths.first().steps == "2+,-,1-"
+    assert sorted(tuple(r) for r in new_bins.collect()) == [(1, "2", 1), (2, "1", 2), (3, "2", -1)]
+    reads = spark.createDataFrame([(1, 100), (1, 50), (2, 10)], "step long, bases long")
+    some = spark.createDataFrame([(2, 30, True), (2, 10, False)], "step long, len long, circular boolean")
+    rows = reports.progress(reads, some, spark.createDataFrame([(1, 7)], "step long, gap long")).orderBy("step").collect()
+    assert [r.line for r in rows] == ["1 |\t2 |\t150 |\t0 |\t0 |\t0 |\t1(7)", "2 |\t3 |\t160 |\t2 |\t1 |\t30 |\t0(0)"]
+    contigs = spark.createDataFrame([("x", 1, 2), ("y", 1, 1), ("z", 2, 1)], "contig string, scaffold long, pos long")
+    found = spark.createDataFrame([("x", 1, "replicon", "o"), ("y", 1, "gene", "g"), ("z", 1, "gene", "h")], "contig string, at long, sort string, text string")
+    assert [tuple(r) for r in reports.replicon_report(contigs, found, 2_500_000).collect()] == [("x", ">y\tx\t\n>2.00Mpb\t1 genes\t+o \n\tg\n\n")]
+    assert reports.sampled(seg.limit(0), "name", 5, 1).count() == 0
