@@ -252,3 +252,14 @@ def test_reports(spark):
     found = spark.createDataFrame([("x", 1, "replicon", "o"), ("y", 1, "gene", "g"), ("z", 1, "gene", "h")], "contig string, at long, sort string, text string")
     assert [tuple(r) for r in reports.replicon_report(contigs, found, 2_500_000).collect()] == [("x", ">y\tx\t\n>2.00Mpb\t1 genes\t+o \n\tg\n\n")]
     assert reports.sampled(seg.limit(0), "name", 5, 1).count() == 0
+
+
+def test_combinations_beyond_a_double(spark):
+    from math import log
+
+    from seqloom.operators import bridges
+
+    paths = spark.range(2400).selectExpr("1 as bridge", "id div 2 as segment", "cast(id % 2 as double) as likelihood").unionByName(spark.sql("select 2 as bridge, 0L as segment, 5d as likelihood"))
+    rows = {r.bridge: (r.likelihood, r.log_paths) for r in bridges.best_paths(paths).collect()}
+    assert rows[2] == (5.0, 0.0)
+    assert rows[1][0] == 1200.0 and abs(rows[1][1] - 1200 * log(2)) < 1e-9
