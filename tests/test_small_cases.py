@@ -263,3 +263,13 @@ def test_combinations_beyond_a_double(spark):
     rows = {r.bridge: (r.likelihood, r.log_paths) for r in bridges.best_paths(paths).collect()}
     assert rows[2] == (5.0, 0.0)
     assert rows[1][0] == 1200.0 and abs(rows[1][1] - 1200 * log(2)) < 1e-9
+
+
+def test_replicon_texts_are_copied_last(spark):
+    """The copies of a scaffold's text pass no join, sort or exchange, and only the reads asked for are ranked."""
+    from seqloom import catalog
+
+    plan = catalog.queries()["replicon_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan.index("Generate explode")
+    assert all(below < plan.index(x) for x in ("Exchange", "Join", "Window", "Aggregate"))
+    assert "% 8) = 0" in plan[plan.index("Window [row_number") :] and "% 8) = 0" not in plan[: plan.index("Window [row_number")]
