@@ -36,8 +36,8 @@ MARKS = ".,;!?()[]{}<>\"'`*-_/|\\"
 #: Marks that may open a value, after a word or alone, and white space.
 MARKS_ONLY = "\"'`<([{"
 OPENING = MARKS_ONLY + " \t\n\r\x0b\x0c"
-#: Bits of the bitmap by which words that may be patterns are told from others before they are counted.
-WORD_BITS = 1 << 16
+#: Hashes by which words that may be patterns are told from others before they are counted: at least, for each pattern, at most.
+WORD_BITS, BITS_EACH, MOST_BITS = 1 << 16, 8, 1 << 20
 
 
 def _digits(x: Column) -> Column:
@@ -156,24 +156,42 @@ def instances(found: DataFrame) -> DataFrame:
     return both.select("rk", "tk", "start", "stop", "value", "seed", "glued", _patterns(F.col("l"), F.col("r")).alias("patterns"))
 
 
+def _bit(pattern: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(pattern), F.lit(bits))
+
+
+def _marked(patterns: DataFrame) -> bytes:
+    """A byte for each of WORD_BITS to MOST_BITS hashes, BITS_EACH or more a pattern up to there, 1 where a pattern has it."""
+    bits = WORD_BITS
+    for _ in range(max(0, (patterns.count() * BITS_EACH - 1).bit_length() - (bits - 1).bit_length())):
+        bits = min(2 * bits, MOST_BITS)
+    bit = _bit(F.col("pattern"), bits)
+    words = patterns.groupBy(F.floor(bit / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("b")).collect()  # MOST_BITS / 64 rows at most
+    out = bytearray(bits)
+    for r in words:
+        for j in range(64):
+            out[64 * r.i + j] = r.b >> j & 1
+    return bytes(out)
+
+
 def _totals(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often the words of each pattern stand anywhere in the corpus, with whatever word after them (with no
-    identifier-like word, for those of two contexts: such words are instances and are counted there). A bitmap of fixed size drops most others early."""
-    bit = F.pmod(F.xxhash64("pattern"), F.lit(WORD_BITS))
-    held = {r.i: r.b for r in patterns.groupBy(F.floor(bit / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("b")).collect()}  # WORD_BITS / 64 rows at most
-    if not held:
+    identifier-like word, for those of two contexts: such words are instances and are counted there). A table of hashes drops most others
+    early, first words by themselves: where a pattern of two contexts has support, so has its left one. Words are rows at once, for
+    expressions over rows are compiled and those over arrays' elements are not; the table's test names its word once, as it is put in its place."""
+    marked = _marked(patterns)
+    if not any(marked):
         return patterns.select("pattern", F.lit(0).cast("long").alias("total"))
-    bitmap = F.expr(f"from_json('[{','.join(str(held.get(i, 0)) for i in range(WORD_BITS // 64))}]', 'array<bigint>')")
-    may = F.call_function("shiftright", F.get(bitmap, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    words = F.split(F.col("text"), r"\s+")
-
-    def each(w, i):
-        before, after = F.get("w", i - 1), F.get("w", i + 2)
-        context = _clean(F.when(w.rlike(r"\p{L}"), w).otherwise(F.concat_ws(" ", before, w)))
-        return F.struct(context.alias("l"), F.when(~F.get("w", i + 1).rlike("[0-9@]"), _letters(after)).alias("r"))
-
-    at = rows.select(words.alias("w")).select(F.explode(F.transform("w", each)).alias("x")).select(F.explode(_patterns(F.col("x.l"), F.col("x.r"))).alias("pattern"))
-    return at.where(may).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    may = lambda p: F.substring(F.lit(marked), (_bit(p, len(marked)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    words = rows.select(F.split(F.lower("text"), r"\s+").alias("w"))
+    later = lambda n: F.slice("w", F.lit(n + 1), F.size("w"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("w"))
+    each = words.select(F.explode(F.arrays_zip(F.col("w"), before.alias("p"), later(1).alias("n"), later(2).alias("a"))).alias("x")).select("x.*").where("w is not null")
+    context = F.btrim(F.when(F.col("w").rlike(r"\p{L}"), F.col("w")).otherwise(F.concat_ws(" ", "p", "w")), F.lit(MARKS))
+    some = each.select(context.alias("l"), "n", "a").where(may(F.concat(F.lit("l "), F.col("l"))))
+    right = F.when(~F.col("n").rlike("[0-9@]"), _letters(F.col("a")))
+    at = some.select(F.explode(_patterns(F.col("l"), right)).alias("pattern"))
+    return at.where(may(F.col("pattern"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
 
 def bootstrapped(rows: DataFrame, occ: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -140,3 +140,29 @@ def test_against_brute_force(spark):
 def test_masked_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "to a@b.co", "x", "y", "z", "u")], "doc_id long, text string, _v string, _rk string, _TK string, _a string")
     assert [tuple(r) for r in pii.masked(docs).collect()] == [(1, "to <EMAIL>", "x", "y", "z", "u")]
+
+
+def test_totals_of_many_patterns(spark):
+    """Words are rows of compiled expressions, counted as in plain Python, and the table of hashes grows with the patterns."""
+    import re
+
+    texts = ["The fox | 12 sees, the-fox ΟΔΟΣ. now", "  ", "", "(the) fox\x0b7 sees\nİx a|b | c x@y a|b", "no more", "- - - 5", "THE fox nor sees"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    clean, want = lambda w: w.lower().strip(pii.MARKS), {}
+    letter = lambda w: any(c.isalpha() for c in w)
+    for t in texts:
+        w = re.split(r"[ \t\n\x0b\f\r]+", t)
+        for i, x in enumerate(w):
+            left = clean(x if letter(x) else " ".join([*w[max(0, i - 1) : i], x]))
+            names = [f"l {left}"] if left else []
+            if left and i + 2 < len(w) and not re.search("[0-9@]", w[i + 1]) and letter(w[i + 2]):
+                names.append(f"b {left}|{clean(w[i + 2])}")
+            for n in names:
+                want[n] = want.get(n, 0) + 1
+    assert want["l the"] == 3 and want["b the|nor"] == 1 and want["b a|b|c"] == 1
+    patterns = spark.createDataFrame([(p,) for p in want], "pattern string")
+    got = pii._totals(rows, patterns)
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pattern: r.total for r in got.collect()} == want
+    many = pii._marked(spark.range(40_000).selectExpr("concat('l w', id) as pattern"))
+    assert sum(many) < len(many) / 7
