@@ -5,13 +5,14 @@
 2. Two linked sets share 1 + n // SPARE or more of the first n - ceil(0.75 n) + 1 + n // SPARE elements of each. Those prefixes
    are grouped by element. Sets that share too few of them with sets of fitting size are peeled off: long texts share some by
    chance. Then, within an element, sets in order of size are tied into blocks wherever sizes allow a link. No pairs are made.
+   Blocks over CHUNK sets are tied anew by two shared elements in place of one: the more sets there are, the more share one by chance.
 3. The sets of each block go to one task (blocks over CHUNK sets are cut into chunks), which stores them in a prefix tree
-   by the global order, probes it with each set, counts shared elements along shared paths once, and prunes a subtree when
-   what remains can't reach the needed overlap. Sets already in one component need no further probe.
+   by the global order, probes it with all sets at once, counts shared elements along shared paths once, and prunes a subtree for
+   the sets that can't reach the needed overlap in what remains. Sets already in one component need no further probe.
 4. In a block of several chunks, first representatives of the chunks' components are joined. Then every set outside the
    block's largest component meets all chunks. Where more than OUTSIDE sets are outside, the same is done for the sets of each
    prefix element in place of the block, once those are peeled off that share too few prefix elements with any size of partner
-   (equal lists of sets once). So no link between different components is left untested.
+   (equal lists of sets once), unless those lists make more pairs than the block. So no link between different components is left untested.
 
 Equal sets are one node throughout. Sets hold 56-bit shingle hashes and have 64-bit names.
 
@@ -38,10 +39,12 @@ from .kernels import chunks, forget_powers, mix, shingles, SPACES, string_buffer
 SHINGLE, PERCENT = 5, 75
 SLOTS, BLOCK, FILTER_BITS = 1 << 20, 1 << 12, 1 << 25
 #: Sets that one task joins at once; representatives of a component in a cut block; sets outside its largest component up to
-#: which a cut block is joined as a whole, each set being sent at most 2 * OUTSIDE / CHUNK times.
+#: which a cut block is joined as a whole without a look at the lists of its elements.
 CHUNK, REPRESENTATIVES, OUTSIDE = 1024, 8, 8192
 #: Rows of sets turned into Python objects at once.
 ROWS = 256
+#: Bytes of the table in which a tree's probes look elements up.
+TABLE = 1 << 25
 #: Sets sent in a round, in multiples of those that there are.
 SENT = 4
 #: Prefixes are longer by one in SPARE elements of the set than one shared element needs, so that linked sets share many.
@@ -50,7 +53,7 @@ SPARE = 16
 CLASS, REACH, PEELS = 1.05, 6, 2
 
 
-def needed(n: int, m: int) -> int:
+def needed(n, m):
     """Least intersection of sets of n and m elements that are linked."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
@@ -232,6 +235,66 @@ def _ties(shared: DataFrame) -> DataFrame:
     return shared.select("tok", "sid", "n").repartition(n, "tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(lean(run, forget_powers), "a long, b long").distinct()
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Sets of level l or more that are linked share more than 2 ** l prefix elements; -1 where it may be one only."""
+    return np.floor(np.log2(np.maximum(n // SPARE, 0.5))).astype(np.int64)
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """tok, sid, n in which tok names two prefix elements of the set: linked sets have such a name in common.
+
+    At a level l that both sets have, elements are dealt to 2 ** l classes, so that two or more shared ones meet in a class, and each two of
+    a class are named. A set has its own level and that of the smallest set it may be linked with; elements of level -1 are named one by one.
+    """
+
+    def names(tok: np.ndarray, sid: np.ndarray, n: np.ndarray):
+        own, least = _level(n), _level(-(-PERCENT * n.astype(np.int64) // 100))
+        for level, rows in ((own, np.ones(len(n), bool)), (least, least < own)):
+            t, s, m, l = tok[rows].view(U64), sid[rows], n[rows], level[rows]
+            single = l < 0
+            yield mix(t[single]), s[single], m[single]
+            t, s, m, l = t[~single], s[~single], m[~single], l[~single]
+            h = mix(t)
+            place = (h >> U64(20)).astype(np.int64) & ((1 << l) - 1)
+            by = np.lexsort((place, s))
+            h, s, m, l, place = h[by], s[by], m[by], l[by], place[by]
+            for d in range(1, len(h)):
+                both = np.flatnonzero((s[d:] == s[:-d]) & (place[d:] == place[:-d]))
+                if not len(both):
+                    break
+                yield mix(h[both] + h[both + d] + l[both].astype(U64)), s[both], m[both]
+
+    def emit(part):
+        for t, s, m in names(*part):
+            if len(t):
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(s), pa.array(m)], ["tok", "sid", "n"])
+
+    def run(batches):
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # the last set
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = [np.append(x, b.column(i).to_numpy(zero_copy_only=False)) for i, x in enumerate(rest)]
+            last = int(np.searchsorted(got[1], got[1][-1]))
+            yield from emit([x[:last] for x in got])
+            rest = [x[last:] for x in got]
+        yield from emit(rest)
+
+    p = shuffle_partitions(shared.sparkSession)
+    return shared.select("tok", "sid", "n").repartition(p, "sid").sortWithinPartitions("sid").mapInArrow(lean(run, forget_powers), "tok long, sid long, n int")
+
+
+def _split(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """blocks (sid, block), in which those over CHUNK sets are tied anew, by two shared elements in place of one: the more sets
+    there are, the more share one by chance, until most of them are a single block."""
+    blocks = written(blocks, "blocks")
+    large = written(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CHUNK).select("block"), "large")
+    if large.isEmpty():
+        return blocks
+    ties = written(_ties(_pairs(shared.join(blocks.join(large, "block", "left_semi").select("sid"), "sid", "left_semi"))), "ties")
+    return blocks.join(large, "block", "left_anti").select("sid", "block").unionByName(connected(ties).select(F.col("node").alias("sid"), F.col("root").alias("block")))
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64)) & U64(FILTER_BITS - 1)).astype(np.int64)
 
@@ -275,12 +338,12 @@ class Node:
 
 
 class Tree:
-    """Sets in the global order; common beginnings are stored once, each edge is an array of elements."""
+    """Sets in the global order, elements by their numbers in it; common beginnings are stored once, each edge is an array of elements."""
 
     STEP = 48
 
     def __init__(self):
-        self.root = Node(np.zeros(0, U64), None, 0)
+        self.root = Node(np.zeros(0, np.int64), None, 0)
         self.root.low = 1 << 62
 
     def add(self, v: np.ndarray, leaf: int) -> None:
@@ -305,54 +368,91 @@ class Tree:
                 node.children[int(v[at])] = child = middle
             node, at = child, at + same
 
-    def probe(self, x: np.ndarray, skip: Callable[[int], bool]) -> Iterator[int]:
-        """Leaves linked with x, but for those that skip() knows already."""
-        n = len(x)
-        stack = [(c, 0, 0) for c in self.root.children.values()]
+    def probe(self, probes: Probes, roots: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links (probing set, leaf) from larger sets to the leaves of other roots; a node is met by all sets at once that may still reach its leaves.
+
+        roots may change while this runs, so that what a link joined is no longer probed.
+        """
+        stack = [(c, 0, probes.sets, np.zeros(len(probes.sets), np.int64)) for c in self.root.children.values()]
         while stack:
-            node, depth, shared = stack.pop()
-            if PERCENT * max(n, node.low) > 100 * min(n, node.high) or (not node.children and node.leaf is not None and skip(node.leaf)):
-                continue
+            node, depth, who, shared = stack.pop()
+            n = probes.size[who]
+            keep = (n >= node.low) & (PERCENT * n <= 100 * node.high)
+            if not node.children:
+                keep &= roots[who] != roots[node.leaf]
+            who, shared, n = who[keep], shared[keep], n[keep]
             least = needed(n, node.low)
             edge, done = node.edge, 0
-            while done < len(edge):
+            while done < len(edge) and len(who):
                 part = edge[done : done + self.STEP]
-                at = np.searchsorted(x, part)
-                shared += int(np.count_nonzero(x[np.minimum(at, n - 1)] == part))
+                shared = shared + probes.held(part, who)
                 done += len(part)
-                if shared + min(node.high - depth - done, n - int(at[-1])) < least:
-                    break
-            else:
-                depth += len(edge)
-                if node.leaf is not None and shared >= needed(n, depth) and not skip(node.leaf):
-                    yield node.leaf
-                stack += [(c, depth, shared) for c in node.children.values()]
+                keep = shared + np.minimum(node.high - depth - done, probes.behind(part[-1], who)) >= least
+                if not keep.all():
+                    who, shared, n, least = who[keep], shared[keep], n[keep], least[keep]
+            if not len(who):
+                continue
+            depth += len(edge)
+            if node.leaf is not None:
+                for i in who[(shared >= needed(n, depth)) & (roots[who] != roots[node.leaf])].tolist():
+                    if roots[i] != roots[node.leaf]:
+                        yield i, node.leaf
+            stack += [(c, depth, who, shared) for c in node.children.values()]
+
+
+class Probes:
+    """Some sets of a group as columns of a table of its elements, those of one set only left out."""
+
+    MARKS = 64
+
+    def __init__(self, sets: np.ndarray, flat: np.ndarray, start: np.ndarray, row: np.ndarray, rows: int):
+        self.sets, self.size, self.row, self.rows = sets, np.diff(start), row, rows
+        n = self.size[sets]
+        self.column = np.zeros(len(self.size), np.int64)
+        self.column[sets] = np.arange(len(sets))
+        own = np.concatenate([flat[start[i] : start[i + 1]] for i in sets])
+        self.table = np.zeros((rows + 1, len(sets)), np.uint8)
+        self.table[row[own], np.repeat(np.arange(len(sets)), n)] = 1
+        self.table[rows] = 0
+        # how many elements of a set lie before each of some marks in the order
+        self.marks = np.linspace(0, len(row), self.MARKS, endpoint=False).astype(np.int64)
+        self.before = np.stack([np.searchsorted(flat[start[i] : start[i + 1]], self.marks) for i in sets], axis=1)
+
+    def held(self, part: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """How many elements of part, at most 255, each set holds."""
+        rows = self.row[part]
+        rows, at = rows[rows < self.rows], self.column[who]
+        if 4 * len(at) > len(self.sets):
+            return self.table[rows].sum(axis=0, dtype=np.uint8)[at]
+        return self.table[rows[:, None], at].sum(axis=0, dtype=np.uint8)
+
+    def behind(self, element: int, who: np.ndarray) -> np.ndarray:
+        """At least as many as the elements of each set behind element in the order."""
+        k = int(np.searchsorted(self.marks, element, "right")) - 1
+        return self.size[who] - self.before[k, self.column[who]]
 
 
 def link(names: list[int], sets: list[np.ndarray], roots: list[int] | None = None, probing: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that join the components of these sets; roots: components known before; probing: only pairs with such a set count."""
-    up = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    if roots is not None:
-        first: dict[int, int] = {}
-        for i, r in enumerate(roots):
-            up[i] = first.setdefault(r, i)
+    start = np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+    order, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    rows = int(several.sum())
+    row = np.where(several, np.cumsum(several) - 1, rows)
+    known = np.unique(np.array(range(len(sets)) if roots is None else roots, np.int64), return_inverse=True)[1]
+    own = np.ones(len(sets), bool) if probing is None else np.array(probing, bool)
     out = []
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    trees = (Tree(), Tree())  # those that probe, and the others
-    for i in order:
-        own = bool(probing is None or probing[i])
-        for tree in trees if own else trees[:1]:
-            for j in tree.probe(sets[i], lambda j: find(j) == find(i)):
-                up[find(j)] = find(i)
+    for theirs, probes in ((own, np.arange(len(sets))), (~own, np.flatnonzero(own))):  # trees of those that probe, and of the others
+        tree = Tree()
+        for i in np.flatnonzero(theirs).tolist():
+            tree.add(flat[start[i] : start[i + 1]], i)
+        if not tree.root.children:
+            continue
+        step = max(16, TABLE // (rows + 1))
+        for at in range(0, len(probes), step):
+            for i, j in tree.probe(Probes(probes[at : at + step], flat, start, row, rows), known):
                 out.append((names[i], names[j]))
-        trees[0 if own else 1].add(sets[i], i)
+                known[known == known[i]] = known[j]
     return out
 
 
@@ -394,7 +494,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = written(_enough(written(_shared(_prefixes(d, rank)), "shared")), "met")
     met = written(_peeled(met.withColumn("root", F.col("sid"))), "met")
     ties = written(_ties(met), "ties")
-    blocks = connected(ties).select(F.col("node").alias("sid"), F.col("root").alias("block"))
+    blocks = _split(connected(ties).select(F.col("node").alias("sid"), F.col("root").alias("block")), met)
     first = names.where("n > 0").groupBy("sid").agg(F.min("row").alias("doc_id"))
     wanted = written(first.join(blocks, "sid"), "wanted")
     size = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
@@ -428,7 +528,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared = written(_peeled(shared), "shared")
     lists = shared.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(3), "sid") % (1 << 40)).alias("y")).where("r0 <> r1")
     lists = written(lists.groupBy("k", "x", "y").agg(F.min("tok").alias("tok")), "lists")  # equal lists once
-    open_ = written(shared.join(lists.select("tok", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok").withColumnRenamed("tok", "key"), "open")
+    open_ = written(shared.join(lists.select("tok", "k", F.ceil(F.col("k") / CHUNK).cast("int").alias("cuts")), "tok").withColumnRenamed("tok", "key"), "open")
+    # near copies of one text share most elements: their lists, each joined, may be dearer than the block as a whole
+    pairs = open_.join(placed.select("sid", "block"), "sid").groupBy("block").agg(F.sum("k").alias("pairs"))
+    dear = written(pairs.join(main, "block").where(F.col("pairs") > F.col("size") * (F.col("size") - F.col("k"))).select("block"), "dear")
+    rows = _crossing(placed.join(dear, "block", "left_semi").withColumnRenamed("block", "key"))
+    found = written(found.unionByName(_rounds(written(rows, "cross"), cut)), "links")
+    open_ = open_.join(placed.join(dear, "block", "left_semi").select("sid"), "sid", "left_anti")
     rows = open_.where("cuts = 1").select(F.xxhash64("key", F.lit(0), F.lit(0)).alias("g"), "sid", "root", F.lit(True).alias("probing"))
     rows = written(rows.unionByName(_crossing(open_.where("cuts > 1"))), "cross")
     return names, written(found.unionByName(_rounds(rows, cut)), "links")
